@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import p7_encode, p9_spans
+from palimpsest.llm import p4_lookalike, p7_encode, p8_mixture, p9_spans
 
-_MODULES = (p7_encode, p9_spans)
+_MODULES = (p4_lookalike, p7_encode, p8_mixture, p9_spans)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE", {}).items()}
