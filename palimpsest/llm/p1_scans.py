@@ -40,6 +40,7 @@ COMMON = 50_000
 
 HEADER, NUMBER, BODY, BREAK = range(4)
 _twins = str.maketrans(TWINS)
+_signs = re.compile(r"[\W_]+")
 _foreign = re.compile("[Ͱ-ϿЀ-ԯ]")
 _word = re.compile(r"[^\W_]+")
 _tail_hyphen = re.compile(r"([^\W\d_]+)[-¬]\s*$")
@@ -68,7 +69,7 @@ def confused_key(line: str) -> str:
     k = k.translate(_same).replace("e", "c").replace("t", "f")
     for a, b in (("rn", "m"), ("lc", "k"), ("ll", "u"), ("ch", "dl")):
         k = k.replace(a, b)
-    return "".join(c for c in k if c.isalnum())
+    return _signs.sub("", k)
 
 
 def own_number(line: str, page: int) -> tuple[int, int, str] | None:
@@ -144,9 +145,13 @@ def document(pages: list[str | None]) -> list[Page]:
                     mine[i] = (place, key)
         out.append(p)
         keys.append(mine)
-    # how many other pages have a line's key at the same side; equal keys first, altered ones against the commonest
-    counts: Counter = Counter((pl < 3, key) for mine in keys for pl, key in {(pl < 3, kk): (pl, kk) for pl, kk in mine.values()}.values())
-    lead = [x for x, c in counts.most_common(4) if c > 1]
+    # how many other pages have a line's key at the same side
+    counts: Counter = Counter(x for mine in keys for x in {(pl < 3, key) for pl, key in mine.values()})
+    # altered copies keep their beginning or end
+    tips: dict[tuple, set] = {}
+    for side, key in counts:
+        for e in ((side, 0, key[:4]), (side, 1, key[-4:])):
+            tips.setdefault(e, set()).add(key)
     for k, p in enumerate(out):
         width = max((len(x) for x in p.lines), default=0)
         obs = []
@@ -158,10 +163,9 @@ def document(pages: list[str | None]) -> list[Page]:
             again = 0
             if i in keys[k]:
                 pl, key = keys[k][i]
-                if counts[pl < 3, key] > 1 or any(s == (pl < 3) and _alike(key, x) for s, x in lead):
-                    again = 1
-                elif len(counts) < 200 and sum(c for (s, x), c in counts.items() if s == (pl < 3) and _alike(key, x)) > 1:
-                    again = 1
+                side = pl < 3
+                near = tips[side, 0, key[:4]] | tips[side, 1, key[-4:]]
+                again = int(counts[side, key] > 1 or any(x != key and _alike(key, x) for x in near))
             num = p.numbers.get(i)
             form = 0 if not num else {"alone": 1, "marked": 2, "bare": 3}[num[2]]
             short = len(line) < 0.75 * width
