@@ -127,3 +127,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared}
+ORACLE = {
+    "p9_found": f"""
+with w as (select doc_id, unnest(range(1, length(text) - {LENGTH} + 2)) as i, text from documents where length(text) >= {LENGTH}),
+h as (select doc_id, substr(text, i, {LENGTH}) as s from w)
+select distinct doc_id from h where s in (select s from h group by s having min(doc_id) <> max(doc_id))"""
+}
