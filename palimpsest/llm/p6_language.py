@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.p1_scans import clean
-from palimpsest.plans.session import spread, table
+from palimpsest.plans.session import materialize, spread, table
 
 LANGS = ["nl", "fr", "de", "en"]
 DIM, ORDERS = 1 << 16, (2, 3, 4)
@@ -285,7 +285,8 @@ def document_languages(docs: DataFrame) -> DataFrame:
         F.max("label").alias("label"), F.max("whole").alias("whole"), F.max("letters").alias("longest"),
         F.sum(F.col("letters") * F.col("confidence")).alias("sure"), F.sum("letters").alias("letters"),
     )
-    per = per.filter((F.col("longest") >= LETTERS) | (F.col("longest") * 2 > F.col("whole")))
+    # read twice below; without this the texts would be labelled twice
+    per = materialize(per.filter((F.col("longest") >= LETTERS) | (F.col("longest") * 2 > F.col("whole"))))
     main = per.groupBy("document_id").agg(F.max_by("lang", F.struct("letters", "lang")).alias("main"), F.count("*").alias("n_langs"))
     return per.join(main, "document_id").select("document_id", "label", "lang", "letters", (F.col("sure") / F.greatest("letters", F.lit(1))).alias("confidence"), (F.col("lang") == F.col("main")).alias("is_main"), "n_langs")
 
