@@ -48,10 +48,16 @@ ARTICLES = {"de", "du", "des", "la", "le", "l", "d"}
 ENDINGS = ("tje", "je", "ke", "oo", "ou", "uy", "iy", "ay", "ey", "oy", "y", "i")
 
 _kinds = sorted(((w.split(), k) for k, ws in KINDS.items() for w in ws), key=lambda x: -len(x[0]))
+_by_edge: dict[str, list] = {}
+for _ws, _k in _kinds:
+    for _w in {_ws[0], _ws[-1]}:
+        _by_edge.setdefault(_w, []).append((_ws, _k))
 _long_kinds = [(w[0], k) for w, k in _kinds if len(w) == 1 and len(w[0]) >= 7]
 
 
 def fold(s: str) -> str:
+    if s.isascii():
+        return s.lower()
     s = unicodedata.normalize("NFKD", s.replace("œ", "oe").replace("æ", "ae"))
     return "".join(c for c in s if not unicodedata.combining(c)).casefold()
 
@@ -81,17 +87,22 @@ def _core(words: list[str]) -> str:
 
 def organisation(words: list[str]) -> tuple[str, str] | None:
     """(kind, name) of folded words, None if no word tells a kind."""
-    for ws, kind in _kinds:
-        for at in [0, len(words) - len(ws)]:
+    if len(words) < 2:
+        return None
+    # the longest kind first, at the beginning before the end
+    near = [x for w in {words[0], words[-1]} for x in _by_edge.get(w, ())]
+    for ws, kind in sorted(near, key=lambda x: -len(x[0])) if len(near) > 1 else near:
+        for at in (0, len(words) - len(ws)):
             if at >= 0 and words[at : at + len(ws)] == ws and len(words) > len(ws):
                 return kind, _core(words[:at] + words[at + len(ws) :])
     for at in (0, len(words) - 1):
-        for w, kind in _long_kinds:
-            if len(words) > 1 and near_word(words[at], w):
-                return kind, _core(words[:at] + words[at + 1 :])
+        if len(words[at]) > 5:
+            for w, kind in _long_kinds:
+                if abs(len(words[at]) - len(w)) < 2 and (words[at][0] == w[0] or words[at][-1] == w[-1]) and near_word(words[at], w):
+                    return kind, _core(words[:at] + words[at + 1 :])
     if len(words) > 2:
         for at in (0, len(words) - 2):
-            if near_word(" ".join(words[at : at + 2]), "centre medical"):
+            if words[at][:1] == "c" and near_word(" ".join(words[at : at + 2]), "centre medical"):
                 return "centre", _core(words[:at] + words[at + 2 :])
     return None
 
