@@ -81,38 +81,37 @@ def sentences(text: str, kind: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all parts one after the other, and where each part's n-grams begin; n-grams don't cross parts."""
+def grams(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the hashed n-grams of all parts one after the other, and where each part's begin (with the end of the last);
+    n-grams don't cross parts."""
     joined = "\x00".join(parts) + "\x00"
     c = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.flatnonzero(c == 0)
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    part = np.repeat(np.arange(len(parts)), ends - begins + 1)
-    hs, ps = [], []
-    h = c.copy()
+    lengths = np.diff(ends, prepend=-1) - 1
+    part = np.repeat(np.arange(len(parts)), lengths + 1)
+    place = np.arange(len(c))
+    out = []
+    h = c
     with np.errstate(over="ignore"):
         for n in range(2, max(ORDERS) + 1):
             h = h[:-1] * np.uint64(1000003) + c[n - 1 :]
             if n in ORDERS:
-                k = part[: len(h)]
-                inside = np.arange(len(h)) + n - 1 < ends[k]
-                x = h[inside] + np.uint64(n)
+                x = h[place[: len(h)] + n - 1 < ends[part[: len(h)]]] + np.uint64(n)
                 x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                hs.append((x >> np.uint64(40)).astype(np.int64) & (DIM - 1))
-                ps.append(k[inside])
-    hashes, owner = np.concatenate(hs), np.concatenate(ps)
-    order = np.argsort(owner, kind="stable")
-    owner = owner[order]
-    return hashes[order], np.searchsorted(owner, np.arange(len(parts)))
+                out.append(((x >> np.uint64(40)).astype(np.int64) & (DIM - 1), np.concatenate([[0], np.cumsum(np.maximum(lengths - n + 1, 0))])))
+    return out
 
 
 def scores(parts: list[str], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Logits of each part; weights hold the inverse document frequencies."""
-    h, at = grams(parts)
-    n = np.diff(np.append(at, len(h)))
-    sums = np.add.reduceat(np.vstack([weights[h], np.zeros((1, weights.shape[1]), weights.dtype)]), np.minimum(at, len(h)), axis=0)
-    sums[n == 0] = 0
-    return sums / np.maximum(n, 1)[:, None] + bias
+    sums, total = np.zeros((len(parts), weights.shape[1]), np.float32), np.zeros(len(parts))
+    for h, at in grams(parts):
+        n = np.diff(at)
+        full = n > 0
+        if full.any():
+            sums[full] += np.add.reduceat(weights[h], at[:-1][full], axis=0)
+        total += n
+    return sums / np.maximum(total, 1)[:, None] + bias
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -130,11 +129,11 @@ def train(parts: list[str], labels: np.ndarray, idf: np.ndarray, rounds: int = 1
         w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2)
         return np.where(np.abs(zi) <= L1, 0.0, w)
 
-    h, at = grams(parts)
-    stops = np.append(at[1:], len(h))
+    orders = grams(parts)
+    features = [np.unique(np.concatenate([h[at[s] : at[s + 1]] for h, at in orders]), return_counts=True) for s in range(len(parts))]
     for _ in range(rounds):
         for s in range(len(parts)):
-            ids, counts = np.unique(h[at[s] : stops[s]], return_counts=True)
+            ids, counts = features[s]
             if not len(ids):
                 continue
             i = np.append(ids, DIM)
@@ -155,21 +154,29 @@ SCALE = 10.0
 
 
 def temperature(z: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature at which held-out labels are most likely."""
-    grid = np.geomspace(0.005, 5, 80)
-    return float(min(grid, key=lambda t: -log_softmax(z / t)[np.arange(len(z)), labels].mean()))
+    """The temperature at which held-out labels are most likely, one more of them being wrong than is known: without a
+    mistake any confidence could be raised for ever."""
+    wrong = 1 / (len(z) + 1)
+    target = np.full(z.shape, wrong / (z.shape[1] - 1))
+    target[np.arange(len(z)), labels] = 1 - wrong
+    return float(min(np.geomspace(0.005, 5, 80), key=lambda t: -(target * log_softmax(z / t)).sum(1).mean()))
 
 
 def _frequencies(batches):
     df, docs = np.zeros(DIM, np.int64), 0
     for b in batches:
-        for text, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            parts = [x for *_, x in sentences(text, kind)]
-            if parts:
-                seen = np.zeros(DIM, bool)
-                seen[grams(parts)[0]] = True
-                df += seen
-                docs += 1
+        cut = [[x for *_, x in sentences(text, kind)] for text, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        cut = [parts for parts in cut if parts]
+        if not cut:
+            continue
+        orders = grams([x for parts in cut for x in parts])
+        first = np.cumsum([0, *map(len, cut)])
+        docs += len(cut)
+        for k in range(len(cut)):
+            seen = np.zeros(DIM, bool)
+            for h, at in orders:
+                seen[h[at[first[k]] : at[first[k + 1]]]] = True
+            df += seen
     i = np.flatnonzero(df)
     yield pa.record_batch([pa.array(np.append(i, -1), pa.int32()), pa.array(np.append(df[i], docs), pa.int64())], ["gram", "n"])
 
