@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zipfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.dates import format_shift
 from palimpsest.functions.keyed import hashed_stem
 from palimpsest.functions.text import is_placeholder, normalize_page_text, similarity, skeleton
 from palimpsest.operators.html import html_to_text
@@ -133,3 +136,64 @@ def corpus_case(extracted: Column, expected: Column, error: Column, expected_err
 def write_export(rows: DataFrame, folder: str) -> None:
     """Files of an export as a table of (name, content), one part for each task; an archive may be made of it afterwards."""
     rows.select(F.col("export_name").alias("name"), F.col("content")).write.mode("overwrite").parquet(folder)
+
+
+def pasted_names(docs: DataFrame, order: list[str]) -> DataFrame:
+    """Adds export_name "pasted-001.txt" and so on to pasted texts, in order of the input.
+
+    Rows are numbered inside ranges of the order and ranges by their counts, so no task sorts all of them.
+    """
+    cut = materialize(docs.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    # one row per range: as many as there are partitions
+    sizes = cut.groupBy("_slice").agg(F.count("*").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    n = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) + F.col("_before")
+    numbered = cut.join(F.broadcast(sizes), "_slice").withColumn("_n", n.cast("string"))
+    return numbered.withColumn("export_name", F.concat(F.lit("pasted-"), F.lpad("_n", F.greatest(F.length("_n"), F.lit(3)), F.lit("0")), F.lit(".txt"))).drop("_slice", "_before", "_n")
+
+
+def covering(places: Column, position: Column) -> Column:
+    """The longest highlighted range that holds a position, null if none does."""
+    inside = F.filter(places, lambda p: (p.start <= position) & (position < p.start - p.minus_length))
+    return F.get(F.array_sort(F.transform(inside, lambda p: F.struct(p.minus_length, p.start, p.text))), F.lit(0))
+
+
+def date_shift_line(mode: Column, manual: Column, automatic: Column) -> Column:
+    shown = F.when(manual.isNotNull(), F.concat(F.lit("Date shift: "), format_shift(manual), F.lit(" (manual)"))).when(automatic.isNotNull(), F.concat(F.lit("Date shift: "), format_shift(automatic), F.lit(" (auto)")))
+    return F.when(mode == "smart_pseudonyms", F.coalesce(shown, F.lit("Date shift: Auto"))).otherwise("Date shift: Not used")
+
+
+def report_table(done: DataFrame, missed: DataFrame) -> DataFrame:
+    """(section, line) of the report: a line per exported and skipped document, "- None" for an empty section.
+
+    done: (shown, references); missed: (shown, reason). Mappings follow as a section of their own. It stays a table; write_zip
+    puts it in order.
+    """
+    parts = [
+        done.select(F.lit("Exported").alias("section"), F.concat(F.lit("- "), F.col("shown")).alias("line")),
+        missed.select(F.lit("Skipped").alias("section"), F.concat(F.lit("- "), F.col("shown"), F.lit(": "), F.col("reason")).alias("line")),
+        done.select(F.lit("Mappings").alias("section"), F.explode(mapping_lines(F.col("references"))).alias("line")),
+    ]
+    lines = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = done.sparkSession.createDataFrame([("Exported",), ("Skipped",), ("Mappings",)], "section string")
+    return every.join(lines, "section", "left").select("section", F.coalesce("line", F.lit("- None")).alias("line"))
+
+
+def write_zip(rows: DataFrame, report: DataFrame, path: str) -> tuple[int, int]:
+    """An archive on the driver of (name, content) rows and the report; numbers of files and of report lines.
+
+    One file needs one writer: rows come one partition at a time, never all at once. For large exports use write_export.
+    """
+    files, lines = 0, 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in rows.select("name", "content").toLocalIterator():
+            z.writestr(r["name"], r["content"] or "")
+            files += 1
+        with z.open(REPORT, "w") as f:
+            section = None
+            for r in report.orderBy(F.array_position(F.array(*map(F.lit, ("Exported", "Skipped", "Mappings"))), F.col("section")), "line").toLocalIterator():
+                if r["section"] != section:
+                    section = r["section"]
+                    f.write(f"{section}\n".encode())
+                f.write(f"{r['line']}\n".encode())
+                lines += 1
+    return files, lines

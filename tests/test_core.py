@@ -215,3 +215,30 @@ def test_versions(spark):
     assert merged == {"a": ("ready", "nieuw"), "b": ("pending", None)}
     assert {(r.id, r.generation) for r in flow.reset(docs, F.lit(True)).collect()} == {("a", 3), ("b", 1)}
     assert [r.id for r in flow.processable(docs).collect()] == ["a"]
+
+
+def test_zip_and_report(spark, tmp_path):
+    import zipfile
+
+    rows = spark.createDataFrame([("a.txt", "één"), ("b.txt", None)], "name string, content string")
+    done = spark.createDataFrame([("a.txt", [("Anna Maes", ["Jan"]), ("[DATE-1]", ["1 mei"])])], "shown string, references array<struct<replacement:string,originals:array<string>>>")
+    missed = spark.createDataFrame([], "shown string, reason string")
+    assert export.write_zip(rows, export.report_table(done, missed), str(tmp_path / "x.zip")) == (2, 3)
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        assert z.read("a.txt").decode() == "één"
+        assert z.read(export.REPORT).decode().splitlines() == ["Exported", "- a.txt", "Skipped", "- None", "Mappings", "- Jan => Anna Maes"]
+    pasted = spark.createDataFrame([(i,) for i in range(1200)], "i int")
+    got = {r.i: r.export_name for r in export.pasted_names(pasted, ["i"]).collect()}
+    assert got[0] == "pasted-001.txt" and got[1199] == "pasted-1200.txt" and len(set(got.values())) == 1200
+    places = spans.highlights(F.lit("[A-1] x [A-1]"), F.array(F.struct(F.lit("[A-1]").alias("replacement"), F.array(F.lit("q")).alias("originals"))))
+    assert [p.start for p in one(spark, places)] == [0, 8] and one(spark, export.covering(places, F.lit(9))).text == "[A-1]" and one(spark, export.covering(places, F.lit(6))) is None
+    assert one(spark, export.date_shift_line(F.lit("smart_pseudonyms"), F.lit(12), F.lit(7))) == "Date shift: +12 days (manual)"
+
+
+def test_sql_names(spark):
+    from palimpsest.plans.sql import register
+
+    register(spark)
+    assert spark.sql("select mask_simple('mail a@b.be op 1/2/2003')").first()[0] == "mail [EMAIL] op [DATUM]"
+    assert [tuple(r) for r in spark.sql("select * from simple_spans('x a@b.be')").collect()] == [("email", "a@b.be", 2, 8)]
+    assert spark.sql("select html_text('<p>a</p>')").first()[0] == "a"
