@@ -204,7 +204,7 @@ def rewrites_of(word: str, lead: str) -> list[tuple[str, str]]:
     n = _stem(a, b)
     if n < 4:
         return [(a, b)] if a[0] == b[0] and len(a) < len(b) else []
-    return [("~" + a[n - k :], "~" + b[n - k :]) for k in range(0, 4) if a[n - k :]]
+    return [("~" + a[n - k :], "~" + b[n - k :]) for k in range(0, 4) if len(a) - n + k > 1 or a[n - k :] == "k"]
 
 
 def _candidates(batches):
@@ -243,6 +243,22 @@ def rewriter(rules: dict[str, str]):
     return apply
 
 
+def kind_of(kinds: set[str]):
+    """Column function of a street's first word when it is, or is one edit from, one of the kinds; "" else."""
+
+    def one(street: str) -> str:
+        first, _, rest = street.partition(" ")
+        if not rest:
+            return ""
+        return first if first in kinds else min((k for k in kinds if len(k) > 3 and near_word(first, k)), default="")
+
+    @F.pandas_udf(StringType())
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore")
+
+    return apply
+
+
 def mine(streets: DataFrame, known: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
     """New significant rewrites from distinct (place, street), at most ONE_IN of them: those that hold for
     most words they touch, and those that hold only where the place has the rewritten street too."""
@@ -295,11 +311,15 @@ def address_places(lines: DataFrame, localities: DataFrame) -> tuple[DataFrame,
             break
         rules |= fresh
         current = current.withColumn("form", rewriter(fresh)("form"))
-    joined = lambda c: F.regexp_replace(c, " ", "")
+    # articles are often left out
+    joined = lambda c: F.regexp_replace(c, r"\b(?:de|du|des|la|le|l|d)\b| ", "")
     forms = current.withColumn("s", joined("form")).withColumn("alt", joined(rewriter(weak)("form")))
     alike = forms.filter("s != alt").select("place", F.col("s").alias("a"), F.col("alt").alias("b"), F.lit(1).alias("edits")).distinct()
-    strings = materialize(forms.select("place", "s").union(forms.select("place", "alt")).distinct())
-    close = near_pairs(strings, ["place"]).filter(F.col("edits") <= F.when(F.least(F.length("a"), F.length("b")) < 8, 1).otherwise(2))
+    # streets of different leading kinds (the words that rewrites lead to) are never linked
+    forms = materialize(forms.withColumn("kind", kind_of({b for b in rules.values() if not b.startswith("~")})("form")))
+    strings = materialize(forms.select("place", "kind", "s").union(forms.select("place", "kind", "alt")).distinct())
+    least = F.least(F.length("a"), F.length("b"))
+    close = near_pairs(strings, ["place", "kind"], most=3).filter(F.col("edits") <= F.when(least < 8, 1).when(least < 12, 2).otherwise(3))
     # two edits in the last letters make another kind of street, unless they are one transposition
     tail = lambda c: F.right(c, F.lit(4))
     letters = lambda c: F.array_sort(F.split(tail(c), ""))
