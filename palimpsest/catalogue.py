@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, keyed, names, text
 from palimpsest.operators import cleanup, documents, export, html, recognise, spans
-from palimpsest.plans.session import spread, table
+from palimpsest.plans.session import by_key, spread, table
 from palimpsest.sources import files
 from palimpsest.streaming import flow
 
@@ -429,13 +429,13 @@ def list_entries(spark, d):
 @query()
 def person_pseudonyms(spark, d):
     a = table(spark, d, "backend_annotations").filter(F.lower("tag").isin(documents.PERSON_TAGS)).select("text").distinct()
-    return spread(a).select("text", keyed.person_pseudonym(F.lit(TEST_SECRET), F.col("text")).alias("pseudonym"))
+    return by_key(a, "text").select("text", keyed.person_pseudonym(F.lit(TEST_SECRET), F.col("text")).alias("pseudonym"))
 
 
 @query()
 def institution_pseudonyms(spark, d):
     a = table(spark, d, "backend_annotations").filter(F.lower("tag").isin(documents.INSTITUTION_TAGS)).select("text").distinct()
-    return spread(a).select("text", keyed.institution_pseudonym(F.lit(TEST_SECRET), F.col("text")).alias("pseudonym"))
+    return by_key(a, "text").select("text", keyed.institution_pseudonym(F.lit(TEST_SECRET), F.col("text")).alias("pseudonym"))
 
 
 @query()
@@ -455,6 +455,6 @@ def dossier_cleanup(spark, d):
     """Every document cleaned of the literals of its own dossier: settings are columns of a join, not literals of the plan."""
     docs = flow.latest_per_key(table(spark, d, "imported_documents").filter("raw_text is not null").select("id", "raw_text", "settings_id", "arrived_at"), "id", ["arrived_at"])
     s = flow.latest_per_key(table(spark, d, "patient_settings").select("settings_id", "first_name", "last_name", "birthdate", "other_names", "custom_addresses", "saved_at"), "settings_id", ["saved_at"])
-    both = spread(docs.join(s, "settings_id", "left")).withColumn("src", F.struct(F.col("raw_text").alias("text"), F.array().cast(spans.REFERENCES).alias("references")))
+    both = by_key(docs.join(s, "settings_id", "left"), "id").withColumn("src", F.struct(F.col("raw_text").alias("text"), F.array().cast(spans.REFERENCES).alias("references")))
     per_row = {k: F.col(k) for k in ("first_name", "last_name", "birthdate", "other_names", "custom_addresses")}
     return cleanup.cleanup(both, "src", "r", per_row).select("id", "r.text", "r.references", "r.warnings")

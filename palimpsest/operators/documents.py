@@ -16,6 +16,7 @@ from palimpsest.operators.cleanup import Settings, cleanup
 from palimpsest.operators.html import html_pieces
 from palimpsest.operators.recognise import recognise
 from palimpsest.operators.spans import REFERENCES, canonical_tag, merge_references, numbered, references_of, render
+from palimpsest.plans.session import by_key
 
 #: Tags by the treatment they get with pseudonyms.
 PERSON_TAGS = ["patient", "person", "persoon"]
@@ -109,7 +110,7 @@ def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_h
     """
     rows = docs.filter("id is not null").select(F.col("id").alias("document_id"), "source_kind", "raw_text", F.col("pdf_pages.text").alias("pages"), *(["arrived_at"] if "arrived_at" in docs.columns else []))
     if "arrived_at" in docs.columns:
-        rows = rows.groupBy("document_id").agg(F.max_by(F.struct("source_kind", "raw_text", "pages"), "arrived_at").alias("d")).select("document_id", "d.*")
+        rows = by_key(rows, "document_id").groupBy("document_id").agg(F.max_by(F.struct("source_kind", "raw_text", "pages"), "arrived_at").alias("d")).select("document_id", "d.*")
     blank = F.coalesce(F.col("raw_text").rlike(BLANK), F.lit(True))
     paged = ~blank & F.coalesce((F.col("source_kind") == "pdf") & (F.size("pages") > 0), F.lit(False))
     is_html = ~blank & F.coalesce(F.col("source_kind") == "html", F.lit(False))

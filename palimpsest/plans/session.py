@@ -28,6 +28,15 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(2 * cores, *keys) if keys else df.repartition(2 * cores)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by the keys into a number that isn't reduced again for being small: for CPU-heavy steps behind a shuffle.
+
+    An aggregate or join on the same keys that follows needs no other shuffle.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     sc = spark.sparkContext
