@@ -141,7 +141,7 @@ def document(pages: list[str | None]) -> list[Page]:
                 if num:
                     p.numbers[i] = num
                 key = confused_key(stripped(line, num))
-                if len(key) >= 6:
+                if len(key) >= 9:
                     mine[i] = (place, key)
         out.append(p)
         keys.append(mine)
