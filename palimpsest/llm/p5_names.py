@@ -62,6 +62,15 @@ def fold(s: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c)).casefold()
 
 
+_heads, _tails = {w[:3] for w, _ in _long_kinds}, {w[-3:] for w, _ in _long_kinds}
+
+
+def maybe_organisation(words: list[str]) -> bool:
+    """Whether any of the words may be one that tells a kind: a quick test before organisation. One edit leaves a long word's
+    beginning or end as it is."""
+    return any(w in _by_edge or len(w) > 5 and (w[:3] in _heads or w[-3:] in _tails) for w in words)
+
+
 def squash(s: str) -> str:
     """Folded letters only, with the spellings of one sound made equal."""
     s = re.sub(r"[\W\d_]+", "", fold(s))
