@@ -7,8 +7,8 @@ decides; if neither is in common use, both orders are tried.
 
 Family names, organisations' names and given names within the same family are joined by
 segments.near_pairs. Family names link within two edits (one if shorter than SHORT). A given name in
-common use is itself and no misspelling of another one; other given names belong to the nearest one
-of their family. Nicknames belong to the given name the list has for them or that they are formed from. Initials,
+common use is itself and no misspelling of another one; an unlisted form beside one that is TIMES as common is a
+misspelling. Other given names belong to the nearest one of their family. Nicknames belong to the given name the list has for them or that they are formed from. Initials,
 nicknames and family names alone belong to the person of the family they fit, if that is one; if
 several fit, to the dossier's patient if it is among them, else to none. A last_name record is the patient.
 Equal spellings within a dossier are always linked.
@@ -31,8 +31,9 @@ from palimpsest.llm.segments import near_pairs
 from palimpsest.plans.session import materialize, table
 
 SHORT = 7
-#: A given name is in common use when so many dossiers have it.
-COMMON = 3
+#: A given name is in common use when so many dossiers have it, unless it isn't listed and a form within the edits of a
+#: misspelling is used in TIMES as many: misspellings recur by chance as data grow, in proportion to the name.
+COMMON, TIMES = 3, 10
 
 #: Words of organisations by kind; several words first.
 KINDS = {
@@ -213,6 +214,20 @@ def _nick_keys(batches):
         yield pd.DataFrame(rows, columns=["fam", "given", "person", "patient", "side", "key"])
 
 
+def _slip():
+    """The edits between given names a and b that one misspelling makes."""
+    return F.col("edits") <= F.when(F.least(F.length("a"), F.length("b")) < 5, 1).otherwise(2)
+
+
+def recurring_slips(known: DataFrame) -> DataFrame:
+    """(g, meant) of the forms of known (g, d, usual, l) that aren't listed and misspell one that TIMES as many dossiers use as a
+    given name; meant is its number of dossiers."""
+    pairs = near_pairs(known.filter(F.col("d") >= COMMON).select(F.lit(0).alias("all"), F.col("g").alias("s")), ["all"]).filter(_slip())
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    forms = known.filter("not l").select(F.col("g").alias("a"), F.col("d").alias("da"))
+    return both.join(forms, "a").join(known.select(F.col("g").alias("b"), "usual"), "b").filter(F.col("usual") >= F.col("da") * TIMES).groupBy(F.col("a").alias("g")).agg(F.max("usual").alias("meant"))
+
+
 def name_entities(names: DataFrame, settings: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(name_id, settings_id, entity) of every distinct name_id with a name and a dossier."""
     rows = names.select("name_id", F.col("settings_id").cast("long").alias("settings_id"), "field", "name")
@@ -228,11 +243,13 @@ def name_entities(names: DataFrame, settings: DataFrame, nicknames: DataFrame) -
 
     # the words that several dossiers use as given names
     listed = nicknames.select(fold_sql(F.col("given_name")).alias("g")).unionByName(nicknames.select(fold_sql(F.col("nickname")).alias("g"))).distinct().withColumn("l", F.lit(True))
-    used = read.filter("kind = 'p' and given != ''").groupBy(F.col("given").alias("g")).agg(F.countDistinct("settings_id").alias("d"))
-    known = materialize(used.join(listed, "g", "full").filter((F.col("d") >= COMMON) | F.col("l")).select("g", F.coalesce("d", F.lit(1)).alias("d")))
+    used = read.filter("kind = 'p' and given != ''").groupBy(F.col("given").alias("g")).agg(F.countDistinct("settings_id").alias("d"), F.countDistinct(F.when(F.col("ord") != 2, F.col("settings_id"))).alias("usual"))
+    known = materialize(used.join(listed, "g", "full").filter((F.col("d") >= COMMON) | F.col("l")).select("g", F.coalesce("d", F.lit(1)).alias("d"), F.coalesce("usual", F.lit(0)).alias("usual"), F.col("l").isNotNull().alias("l")))
+    # a misspelling counts as the name it stands for when the order is decided
+    known = materialize(known.join(recurring_slips(known), "g", "left").select("g", F.coalesce("meant", "d").alias("d"), F.col("meant").isNull().alias("itself")))
     read = read.join(known, read.given == known.g, "left").withColumn("d", F.coalesce("d", F.lit(0))).drop("g")
     most = F.max("d").over(Window.partitionBy("settings_id", "name"))
-    read = materialize(read.withColumn("most", most).filter((F.col("ord") <= 0) | (F.col("d") == F.col("most"))).withColumn("common", F.col("d") > 0).drop("d", "most"))
+    read = materialize(read.withColumn("most", most).filter((F.col("ord") <= 0) | (F.col("d") == F.col("most"))).withColumn("common", F.coalesce("itself", F.lit(False))).drop("d", "most", "itself"))
 
     # families and organisations
     group = ["settings_id", "kind"]
@@ -249,7 +266,7 @@ def name_entities(names: DataFrame, settings: DataFrame, nicknames: DataFrame) -
     both = pairs.select("fam", "a", "b", "edits").unionByName(pairs.select("fam", F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
     flag = people.select("fam", F.col("given").alias("a"), F.col("common").alias("ca"), F.col("patient").alias("pa"))
     flags = flag.select("fam", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("pa").alias("pb"))
-    both = both.join(flag, ["fam", "a"]).join(flags, ["fam", "b"]).filter(F.col("edits") <= F.when(F.least(F.length("a"), F.length("b")) < 5, 1).otherwise(2))
+    both = both.join(flag, ["fam", "a"]).join(flags, ["fam", "b"]).filter(_slip())
     to_common = both.filter("not ca and (cb or pb) and not pa").groupBy("fam", "a").agg(F.min_by("b", F.struct("edits", "b")).alias("b"))
     rare = both.filter("not ca and not cb").join(to_common, ["fam", "a"], "left_anti").join(to_common.select("fam", F.col("a").alias("b")), ["fam", "b"], "left_anti").select("fam", "a", "b")
     gkey = lambda c: F.concat_ws("\u0002", "fam", c)

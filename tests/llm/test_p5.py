@@ -55,3 +55,16 @@ def test_entities(spark):
     classes = [[1, 2, 3, 4, 5], [6, 7], [8, 9, 10], [11, 12, 13], [18, 19]]
     assert got == {(a, b) for c in classes for a in c for b in c if a < b}
     assert p5.name_entities(names.limit(0), settings.limit(0), nick.limit(0)).count() == 0
+
+
+def test_a_misspelling_that_recurs_stays_one(spark):
+    rows = [(i, "annotation", i, f"Tavowen Quordinckx{'abcdefghij'[i % 10]}") for i in range(1, 101)]
+    rows += [(100 + i, "annotation", i, f"Tavowne Quordinckx{'abcdefghij'[i % 10]}") for i in range(1, 6)]
+    # a name of its own: in as many dossiers as its neighbour, or far from every other
+    rows += [(200 + i, "annotation", i, f"Zelien Quordinckx{'abcdefghij'[i % 10]}") for i in range(1, 6)]
+    rows += [(300 + 2 * i + k, "annotation", 200 + i, f"{g} Quordinckx{'abcdefghij'[i % 10]}") for i in range(30) for k, g in enumerate(("Korvald", "Korvand"))]
+    names = spark.createDataFrame(rows, "name_id long, field string, settings_id long, name string")
+    settings = spark.createDataFrame([], "settings_id long, first_name string, saved_at timestamp")
+    nick = spark.createDataFrame([], "given_name string, nickname string")
+    got = {(r.name_id_a, r.name_id_b) for r in p5.linked_pairs(p5.name_entities(names, settings, nick)).collect()}
+    assert got == {(i, 100 + i) for i in range(1, 6)}
