@@ -9,6 +9,7 @@ the same for contexts: the mean disclosure of the words that follow it.
 Names. A run of capitalised words, initials and particles, without leading titles and words that disclose nothing, is a name when
 its context or one of its words discloses a person and it isn't an organisation. Words and contexts frequent enough to
 be bounded in number are known to all tasks; runs without any of these are looked up in the full table of terms by a join.
+Words in lower case are looked up one by one, and those with only particles between them are one name.
 
 E-mail addresses, phone numbers, identity numbers (with their date or check digits) and addresses (a
 house number next to a street and a locality, in either order) have forms of their own and are found first; names inside
@@ -23,10 +24,11 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.p3_addresses import MOST_LOCALITIES, Localities, squeeze
@@ -37,6 +39,8 @@ from palimpsest.plans.session import materialize, spread, table
 
 #: A term or context discloses from this share on. A known word or context holds more than 1 in BOUND of all.
 SHARE, BOUND = 0.5, 8000
+#: Bits of the table that tells tasks which words in lower case can't be terms.
+MARKS = 1 << 22
 PERSON_TAGS = ["patient", "person", "persoon"]
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -253,6 +257,8 @@ _word = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _left = re.compile(r"(\S+)\s*$")
 _titles = TITLES | {"herrn", "mevr", "dhr", "dok", "arts", "zuster", "soeur", "frère"}
 _letters = re.compile(r"[^\W\d_]+")
+_low = re.compile(r"[a-zà-öø-ÿœ]{3,}(?:-[a-zà-öø-ÿœ]+)*")
+_lower = re.compile(r"(?<![\w@.\-+])[a-zà-öø-ÿœ]{3,}(?:-[a-zà-öø-ÿœ]+)*(?![\w@]|-\w)")
 _joined = re.compile(r"[\w.]\s$")
 _initial = re.compile(rf"^{_cap}\.?(?:-{_cap}\.?)?$")
 
@@ -308,8 +314,13 @@ def _inside(batches):
 class Known:
     """Tables of bounded size that every task has."""
 
-    def __init__(self, names, plain, contexts):
+    def __init__(self, names, plain, contexts, marks=None):
         self.names, self.plain, self.contexts = frozenset(names), frozenset(plain), frozenset(contexts)
+        self.marks = marks
+
+    def may_name(self, word: str) -> bool:
+        """False only for words that aren't in the table of terms; the join decides the others."""
+        return self.marks is None or bool(self.marks[(k := zlib.crc32(word.encode()) % MARKS) >> 3] >> (k & 7) & 1)
 
 
 def disclosure(docs: DataFrame, annotations: DataFrame) -> tuple[DataFrame, Known]:
@@ -326,7 +337,13 @@ def disclosure(docs: DataFrame, annotations: DataFrame) -> tuple[DataFrame, Know
     plain = [r.term for r in terms.filter((F.col("share") < 0.1) & (F.col("n") > max(least, 2))).select("term").collect()]
     around = pairs.join(terms.select("term", "share"), "term").groupBy("context").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("share"))
     contexts = [r.context for r in around.filter((F.col("share") >= SHARE) & (F.col("n") > max(least, 3)) & ~F.col("context").isin("", ">", "^")).select("context").collect()]
-    return terms.filter((F.col("share") >= SHARE) & (F.col("inside") > 0)).select("term"), Known(names, plain, contexts)
+    shown = terms.filter((F.col("share") >= SHARE) & (F.col("inside") > 0)).select("term")
+    marks = bytearray(MARKS // 8)
+    # one bit for each hash of a term, MARKS / 32 rows at most, whatever the corpus
+    hashed = shown.select((F.crc32(F.encode("term", "utf-8")) % MARKS).alias("k"))
+    for r in hashed.groupBy(F.expr("k div 32").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(k % 32))")).alias("bits")).collect():
+        marks[r["at"] * 4 : r["at"] * 4 + 4] = r.bits.to_bytes(4, "little")
+    return shown, Known(names, plain, contexts, bytes(marks))
 
 
 def _segments(text: str):
@@ -404,16 +421,43 @@ def names(text: str, taken: list[tuple[int, int, str]], known: Known) -> list[tu
                 continue
         if sure or terms:
             out.append((start, end, sure, terms))
-    lower = {w for w in re.findall(r"[a-zà-öø-ÿœ]{3,}(?:-[a-zà-öø-ÿœ]+)*", text) if w in known.names and fold(w) not in PARTICLES and fold(w) not in _titles}
-    for w in lower:
-        for m in re.finditer(rf"(?<![\w@.\-+]){re.escape(w)}(?![\w@]|-\w)", text):
-            if not any(a <= m.start() < b for a, b, *_ in [*busy, *out]) and (len(w) > 4 or context_of(text, m.start()) in known.contexts):
-                out.append((m.start(), m.end(), True, [w]))
+    return out
+
+
+def lower_names(text: str, taken: list[tuple[int, int]], known: Known) -> list[tuple[int, int, bool, list[str], int, bool]]:
+    """(start, end, sure, terms, lead, alone) of words in lower case that may be names. lead is the end of the one before it with
+    only particles between, or -1; a word that isn't alone is a name only beside another one."""
+    out = []
+    may = {w for w in set(_low.findall(text)) - known.plain if w in known.names or known.may_name(w)}
+    may = {w for w in may if (f := fold(w)) not in PARTICLES and f not in _titles}
+    if not may:
+        return out
+    covered, i, reach, last = sorted(taken), 0, 0, -1
+    for m in _lower.finditer(text):
+        w, s = m[0], m.start()
+        if w not in may:
+            continue
+        sure = w in known.names
+        while i < len(covered) and covered[i][0] <= s:
+            reach = max(reach, covered[i][1])
+            i += 1
+        if s < reach:
+            continue
+        gap = text[last:s] if last >= 0 and s - last < 30 else ""
+        lead = last if gap[:1].isspace() and "\n\n" not in gap.replace("\r", "") and all(fold(x).strip(".'’") in {*PARTICLES, "d"} for x in gap.split()) else -1
+        alone = len(w) > 4 or context_of(text, s) in known.contexts
+        out.append((s, m.end(), sure, [] if sure and alone else [w], lead, alone))
+        last = m.end()
     return out
 
 
 def items(text: str, known: Known, places: Places) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, terms) in the text as it is; terms are those on which an unsure name depends, else empty."""
+    return [x[:4] for x in placed_items(text, known, places)]
+
+
+def placed_items(text: str, known: Known, places: Places) -> list[tuple[int, int, str, list[str], int | None, bool]]:
+    """Items with lead and alone of lower_names; lead is None for others."""
     t, at = resolved(text)
     got = [(m.start(), m.end(), "email") for m in _email.finditer(t)]
     free = lambda x: all(x[1] <= a or x[0] >= b for a, b, _ in got)
@@ -421,12 +465,14 @@ def items(text: str, known: Known, places: Places) -> list[tuple[int, int, str,
     urls = [(m.start(), m.end(), "url") for m in re.finditer(r"https?://\S+", t)]
     got = [x for x in got if not any(a <= x[0] < b for a, b, _ in urls)]
     got += [x for x in addresses(t, places, known.plain) if free(x)]
-    out = [(*x, []) for x in got] + [(s, e, "name", [] if sure else terms) for s, e, sure, terms in names(t, got + urls, known)]
-    return [(at[s], at[e - 1] + 1, k, w) for s, e, k, w in out] if at else out
+    named = names(t, got + urls, known)
+    out = [(*x, [], None, True) for x in got] + [(s, e, "name", [] if sure else terms, None, True) for s, e, sure, terms in named]
+    out += [(s, e, "name", terms, lead, alone) for s, e, _, terms, lead, alone in lower_names(t, [x[:2] for x in [*got, *urls, *named]], known)]
+    return [(at[s], at[e - 1] + 1, k, w, lead if lead is None or lead < 0 else at[lead - 1] + 1, alone) for s, e, k, w, lead, alone in out] if at else out
 
 
-_ITEM = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("terms", pa.list_(pa.string()))])
-_SCHEMA = "document_id string, field string, item_no int, text string, items array<struct<start:int,stop:int,kind:string,terms:array<string>>>"
+_ITEM = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("terms", pa.list_(pa.string())), ("lead", pa.int32()), ("alone", pa.bool_())])
+_SCHEMA = "document_id string, field string, item_no int, text string, items array<struct<start:int,stop:int,kind:string,terms:array<string>,lead:int,alone:boolean>>"
 
 
 def _found(known: Known, rows, keep: bool):
@@ -434,7 +480,7 @@ def _found(known: Known, rows, keep: bool):
         places = Places(rows)
         for b in batches:
             texts = b.column(3).to_pylist()
-            found = [[{"start": s, "stop": e, "kind": k, "terms": w} for s, e, k, w in items(t, known, places)] for t in texts]
+            found = [[{"start": s, "stop": e, "kind": k, "terms": w, "lead": lead, "alone": alone} for s, e, k, w, lead, alone in placed_items(t, known, places)] for t in texts]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3) if keep else pa.nulls(len(texts), pa.string()), pa.array(found, pa.list_(_ITEM))], ["document_id", "field", "item_no", "text", "items"])
 
     return run
@@ -447,6 +493,17 @@ def texts_of(docs: DataFrame, processed: DataFrame) -> DataFrame:
     return u.unionByName(out).filter(F.col("text").rlike(r"(?U)\S"))
 
 
+def lower_runs(words: DataFrame) -> DataFrame:
+    """Names in lower case, from their first word to their last one; one word at least stands for itself."""
+    place = ["document_id", "field", "item_no"]
+    w = Window.partitionBy(*place).orderBy("start_char")
+    begins = F.coalesce((F.lag("end_char").over(w) != F.col("lead")).cast("int"), F.lit(1))
+    runs = words.dropDuplicates([*place, "start_char", "end_char"]).withColumn("begins", begins).withColumn("run", F.sum("begins").over(w))
+    rest = [c for c in words.columns if c not in (*place, "start_char", "end_char", "lead", "alone")]
+    runs = runs.groupBy(*place, "run").agg(*(F.first(c).alias(c) for c in rest), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.max("alone").alias("alone"))
+    return runs.filter("alone").select(*place, *rest, "start_char", "end_char")
+
+
 def personal_items(docs: DataFrame, processed: DataFrame, annotations: DataFrame, localities: DataFrame, keep: bool = False) -> DataFrame:
     """(document_id, field, item_no, text, kind, start_char, end_char): one row per item found; text only with keep."""
     terms, known = disclosure(docs, annotations)
@@ -454,13 +511,14 @@ def personal_items(docs: DataFrame, processed: DataFrame, annotations: DataFrame
     if len(rows) > MOST_LOCALITIES:
         raise ValueError("more localities than a country has")
     scanned = spread(texts_of(docs, processed)).mapInArrow(_found(known, rows, keep), _SCHEMA)
-    each = scanned.select("document_id", "field", "item_no", *(["text"] if keep else []), F.explode("items").alias("i")).select("*", F.col("i.kind").alias("kind"), F.col("i.start").alias("start_char"), F.col("i.stop").alias("end_char"), F.col("i.terms").alias("terms")).drop("i")
+    each = scanned.select("document_id", "field", "item_no", *(["text"] if keep else []), F.explode("items").alias("i")).select("*", F.col("i.kind").alias("kind"), F.col("i.start").alias("start_char"), F.col("i.stop").alias("end_char"), F.col("i.terms").alias("terms"), F.col("i.lead").alias("lead"), F.col("i.alone").alias("alone")).drop("i")
     each = materialize(each)
     sure = each.filter("size(terms) = 0").drop("terms")
     asked = each.filter("size(terms) > 0")
     key = ["document_id", "field", "item_no", "start_char", "end_char"]
     shown = asked.select(*key, F.explode("terms").alias("term")).join(terms, "term", "left_semi").select(*key).distinct()
-    return sure.unionByName(asked.drop("terms").join(shown, key, "left_semi"))
+    kept = sure.unionByName(asked.drop("terms").join(shown, key, "left_semi"))
+    return kept.filter("lead is null").drop("lead", "alone").unionByName(lower_runs(kept.filter("lead is not null")))
 
 
 def _of(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:

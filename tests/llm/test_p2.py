@@ -43,3 +43,16 @@ def test_corpus(spark):
     want |= {("d37", "raw_text", 0, "name", 8), ("d1", "output_text", 1, "name", 0)}
     assert got == want
     assert p2.personal_items(docs.limit(0), done.limit(0), notes.limit(0), loc.limit(0)).count() == 0
+
+
+def test_rare_names_in_lower_case(spark):
+    # enough annotated words that a family name annotated once is below the bound of known.names
+    people = ["Tavowen Quordinckx"] * 4000 + ["Zelolf van Sorgiers", "Mirarda Jos"]
+    text = "Verslag van zelolf van sorgiers en tavowen  sorgiers over jos. Gezien: zelolf jos"
+    docs = [(f"d{i}", f"Gezien met {n} op 3 mei.", None) for i, n in enumerate(people)] + [("low", text, None)]
+    docs = spark.createDataFrame(docs, "id string, raw_text string, pdf_pages array<struct<text:string,width:double,height:double>>")
+    notes = spark.createDataFrame([(i, f"d{i}", n, "Persoon") for i, n in enumerate(people)], "annotation_id long, document_id string, text string, tag string")
+    done = spark.createDataFrame([], "document_id string, generation int, output_text string")
+    loc = spark.createDataFrame([("7687", "Sint-Stopvoorde", "Saint-Stoperaux")], "postcode string, name_nl string, name_fr string")
+    got = {text[r.start_char : r.end_char] for r in p2.personal_items(docs, done, notes, loc).filter("document_id = 'low'").collect()}
+    assert got == {"zelolf van sorgiers", "tavowen  sorgiers", "zelolf jos"}
