@@ -402,11 +402,22 @@ select n.settings_id, n.name, l.family from n join l on n.settings_id = l.settin
 where regexp_full_match(n.name || l.family, '[ -~]*') and damerau_levenshtein(n.name, l.family) <= 1""")
 def near_duplicate_names(spark, d):
     """Names within one edit of the family name of their dossier, ASCII only, as the SQL counts bytes."""
+    both = _beside_family(spark, d).filter(F.concat("name", "family").rlike(r"\A[ -~]*\z"))
+    return both.filter(text.within_one_edit(F.col("name"), F.col("family"))).select("settings_id", "name", "family")
+
+
+@query()
+def near_duplicate_names_all(spark, d):
+    """near_duplicate_names over all rows, letters of any script counted as one."""
+    return _beside_family(spark, d).filter(text.within_one_edit(F.col("name"), F.col("family"))).select("settings_id", "name", "family")
+
+
+def _beside_family(spark, d):
+    """(settings_id, name, family): every other name of a dossier beside its family names."""
     n = table(spark, d, "name_records").select("settings_id", "field", "name")
     last = n.filter("field = 'last_name'").select("settings_id", F.col("name").alias("family")).distinct()
     other = n.filter("field != 'last_name'").select("settings_id", "name").distinct()
-    both = other.join(last, "settings_id").filter(F.concat("name", "family").rlike(r"\A[ -~]*\z"))
-    return both.filter(text.within_one_edit(F.col("name"), F.col("family"))).select("settings_id", "name", "family")
+    return other.join(last, "settings_id")
 
 
 @query(r"""

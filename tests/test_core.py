@@ -242,3 +242,19 @@ def test_sql_names(spark):
     assert spark.sql("select mask_simple('mail a@b.be op 1/2/2003')").first()[0] == "mail [EMAIL] op [DATUM]"
     assert [tuple(r) for r in spark.sql("select * from simple_spans('x a@b.be')").collect()] == [("email", "a@b.be", 2, 8)]
     assert spark.sql("select html_text('<p>a</p>')").first()[0] == "a"
+
+
+def test_near_duplicate_names_with_accents(spark, tmp_path):
+    from palimpsest import catalogue
+
+    def near(a, b):
+        if a == b or len(a) == len(b) and any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1)):
+            return True
+        cut = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+        return a in cut(b) or b in cut(a) or len(a) == len(b) and sum(p != q for p, q in zip(a, b)) == 1
+
+    words = ["Léon", "Leon", "Lèon", "Loén", "Lén", "Müller", "Muller", "Mülelr", "Møllér", "Łeon", "Léonn", "Zoë", "Zëo", "Bos", "Bas"]
+    rows = [(1, "last_name", w) for w in words] + [(1, "other_names", w) for w in words] + [(1, "annotation", None), (2, "annotation", "Léon")]
+    spark.createDataFrame(rows, "settings_id long, field string, name string").write.parquet(f"{tmp_path}/name_records.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["near_duplicate_names_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, a, b) for a in words for b in words if near(a, b)}
