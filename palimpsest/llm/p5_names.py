@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -56,6 +57,7 @@ for _ws, _k in _kinds:
 _long_kinds = [(w[0], k) for w, k in _kinds if len(w) == 1 and len(w[0]) >= 7]
 
 
+@lru_cache(1 << 16)
 def fold(s: str) -> str:
     if s.isascii():
         return s.lower()

@@ -3,7 +3,7 @@ import pytest
 from palimpsest.llm import p2_personal as p2
 
 PLACES = p2.Places([("7687", "Sint-Stopvoorde", "Saint-Stoperaux"), ("5114", "Sackkerke", "Sackcourt-le-Bas")])
-KNOWN = p2.Known({"tavowen", "quordinckx", "van", "den", "bas"}, {"volgens", "contactpersoon", "gezien", "toestel", "post"}, {"volgens", "contactpersoon:", "met"})
+KNOWN = p2.Known({"tavowen", "quordinckx", "van", "den", "bas"}, {"volgens", "contactpersoon", "gezien", "toestel", "post"}, {"volgens", "contactpersoon:", "met"}, {"id_number:insz": 0.9, "id_number:staalnummer": 0.0, "id_number:niss": 0.9}, bytes(p2.MARKS // 8))
 
 
 @pytest.mark.parametrize(
@@ -25,7 +25,7 @@ def test_items(text, kind, item):
 
 @pytest.mark.parametrize("text", ["Staalnummer 34504485737 vermeldt 20,3 mmol", "op 05/12/2011 om 12:30", "https://beeld.zorg.example/8710777684 sinds", "(lot 5752970747-A) kamer 457, route 85", "Kenmerk: 45904822", "[PERSON-1] op [DATE-1]", "Gezien met Ziekenhuis Sint-Tromisart", "Volgens Tromisart ziekenhuis", "ter hoogte van den rug en le bas du dos", ""])
 def test_no_items(text):
-    assert [x for x in p2.items(text, KNOWN, PLACES) if not x[3]] == []
+    assert [x for x in p2.placed_items(text, KNOWN, PLACES) if not x[3] and x[5]] == []
 
 
 def test_corpus(spark):
