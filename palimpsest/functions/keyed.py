@@ -12,13 +12,23 @@ from pyspark.sql import functions as F
 from palimpsest.functions.names import institution_language, split_title
 from palimpsest.functions.text import let, match_case, normalize_key, strip
 
-#: Our own short lists; replace them by larger ones through the parameters.
-FIRST_NAMES = ["Anna", "Bram", "Clara", "David", "Elise", "Felix", "Greta", "Hugo", "Irene", "Jonas", "Karen", "Louis", "Marie", "Noor", "Oscar", "Paula"]
-SURNAMES = ["Adam", "Baert", "Claes", "Denis", "Evrard", "Fabry", "Goris", "Hermans", "Istas", "Jacobs", "Lambert", "Maes", "Noel", "Peeters", "Renard", "Simon"]
-#: Parts of institutions' pseudonyms.
-PREFIXES = {"fr": ["Clinique", "Hopital", "Centre Hospitalier"], "nl": ["AZ", "Ziekenhuis", "Kliniek"]}
-NOUNS = {"fr": ["Acacias", "Amandiers", "Cedres", "Erables", "Lilas", "Mimosas", "Tilleuls", "Vergers"], "nl": ["Anker", "Brug", "Horizon", "Kompas", "Linde", "Oever", "Park", "Wende"]}
-FALLBACK = {"fr": "Clinique Horizon", "nl": "Ziekenhuis Horizon"}
+#: Our own lists; replace them by larger ones through the parameters.
+FIRST_NAMES = [
+    "Aline", "Amber", "Axel", "Basile", "Bente", "Camille", "Cedric", "Corneel", "Dorien", "Edgard", "Elke", "Fien", "Florian", "Gaspard", "Gerda", "Hanne", "Hilde", "Ilse", "Jasper", "Jelle", "Joost",
+    "Katrien", "Kobe", "Lander", "Leonie", "Lieve", "Lucien", "Maarten", "Manon", "Margot", "Mathis", "Nele", "Noemie", "Odette", "Olivier", "Pauline", "Quinten", "Rosalie", "Ruben", "Sander", "Simone", "Stijn",
+    "Tessa", "Thibault", "Ulrike", "Valerie", "Victor", "Wannes", "Yolande", "Zita",
+]
+#: Surnames are made of a head and a tail.
+HEADS = ["Aerd", "Berk", "Bos", "Dael", "Doorn", "Eik", "Elst", "Gracht", "Hage", "Heide", "Hoev", "Kamp", "Kerk", "Linde", "Meer", "Molen", "Ooster", "Roos", "Schild", "Velde", "Water", "Wester", "Wilg", "Zand"]
+TAILS = ["aert", "beek", "berg", "born", "broek", "dijk", "gem", "hout", "kens", "man", "mans", "mont", "poel", "rode", "steen", "tael", "vort", "winckel"]
+SURNAMES = [h + t for h in HEADS for t in TAILS]
+#: Our own parts of institutions' pseudonyms.
+KINDS = {"fr": ["Polyclinique", "Institut Médical", "Maison de Soins"], "nl": ["Zorgcampus", "Medisch Huis", "Polikliniek"]}
+PLACES = {
+    "fr": ["Bellevue", "Bois Clair", "Claire Fontaine", "Grand Pré", "Haute Rive", "La Colline", "La Garenne", "Le Vallon", "Mon Repos", "Val Fleuri"],
+    "nl": ["De Bron", "De Duinpan", "De Hoeve", "De Meander", "De Zonnewijzer", "Groenendal", "Heidepark", "Hoge Rielen", "Ter Beuken", "Veldzicht"],
+}
+NO_OTHER = {"fr": "Polyclinique Sans Nom", "nl": "Zorgcampus Zonder Naam"}
 SEPARATOR = "\u001f"
 
 
@@ -69,18 +79,17 @@ def person_pseudonym(secret_hex: Column, text: Column, first: list[str] = FIRST_
     return let(split_title(text), made)
 
 
-def institution_pseudonym(secret_hex: Column, text: Column, real: list[str] = (), first: list[str] = FIRST_NAMES, last: list[str] = SURNAMES, attempts: int = 6) -> Column:
+def institution_pseudonym(secret_hex: Column, text: Column, real: list[str] = (), last: list[str] = SURNAMES, attempts: int = 24) -> Column:
     """An institution's name in the language of the source, unlike the source and the real names given; case style kept."""
     real_keys = [r.casefold() for r in real]
 
     def drawn(language: str, key: Column) -> Column:
         def draw(at: Column) -> Column:
-            noun, name, family = (_pick(v, secret_hex, F.lit(w), key, at) for v, w in ((NOUNS[language], "noun"), (first, "first"), (last, "last")))
-            forms = [F.concat(F.lit("du "), noun), F.concat(F.lit("des "), noun), F.concat(F.lit("de "), name), family] if language == "fr" else [noun, F.concat(F.lit("De "), noun), name, family]
-            return F.concat_ws(" ", _pick(PREFIXES[language], secret_hex, F.lit("prefix"), key, at), F.element_at(F.array(*forms), choice(secret_hex, 4, F.lit("form"), key, at).cast("int") + 1))
+            kind, place, owner = (_pick(v, secret_hex, F.lit(w), key, at) for v, w in ((KINDS[language], "kind"), (PLACES[language], "place"), (last, "owner")))
+            return F.concat_ws(" ", kind, F.when(choice(secret_hex, 3, F.lit("named after"), key, at) == 0, owner).otherwise(place))
 
         ok = F.filter(F.transform(F.array(*[F.lit(str(a)) for a in range(attempts)]), draw), lambda x: (F.lower(x) != key) & ~F.lower(x).isin(real_keys) if real_keys else F.lower(x) != key)
-        return F.coalesce(F.get(ok, F.lit(0)), F.lit(FALLBACK[language]))
+        return F.coalesce(F.get(ok, F.lit(0)), F.lit(NO_OTHER[language]))
 
     name = let(normalize_key(text), lambda key: F.when(institution_language(text) == "fr", drawn("fr", key)).otherwise(drawn("nl", key)))
     return match_case(name, text)

@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.dates import birthdate_variants
+from palimpsest.functions.dates import SMART_BIRTH_MONTHS, birthdate_variants, shift_literal
+from palimpsest.functions.keyed import person_pseudonym
 from palimpsest.functions.names import ADDRESS_SEPARATORS, PERSON_SEPARATORS, address_sequences, address_variants, java_tokens, literal_pattern, person_sequences, person_variants
-from palimpsest.functions.text import PLACEHOLDER, let, next_index
+from palimpsest.functions.text import PLACEHOLDER, let, match_case, next_index
 from palimpsest.operators.spans import REFERENCES, merge_references
 
 WARNING = "Guaranteed cleanup replaced configured literals that remained after recognition."
@@ -72,16 +73,25 @@ def literals_pattern(variants: Column, separators: str = r"[\s,.'’`-]+", name_
     return F.when(body != "", F.concat(F.lit(rf"(?iU)(?:{PLACEHOLDER})|(?<!{edge})(?:"), body, F.lit(rf")(?!{edge})")))
 
 
-def replace_literals(state: Column, pattern: Column, replacement: Column) -> Column:
-    """struct<text, references> after replacing what the pattern matches outside of placeholders; unchanged for a null pattern."""
+def replace_literals(state: Column, pattern: Column, replacement) -> Column:
+    """struct<text, references> after replacing what the pattern matches outside of placeholders; unchanged for a null pattern.
+
+    replacement: a column, or a function from what was matched to a column.
+    """
+    made = replacement if callable(replacement) else lambda m: replacement
+
     def done(s):
-        found = F.regexp_extract_all(s.text, pattern, F.lit(0))
-        shown = F.filter(found, lambda m: ~m.rlike(rf"\A{PLACEHOLDER}\z"))
-        gaps = F.split(s.text, pattern, -1)
-        pieces = F.transform(found, lambda m, i: F.concat(F.get(gaps, i), F.when(m.rlike(rf"\A{PLACEHOLDER}\z"), m).otherwise(replacement)))
-        text = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(found)))
-        one = F.array(F.struct(replacement.alias("replacement"), F.array_distinct(shown).alias("originals")))
-        return F.when(F.size(shown) > 0, F.struct(text.alias("text"), merge_references(F.concat(s.references, one)).alias("references"))).otherwise(F.struct(s.text, s.references))
+        found = F.transform(F.regexp_extract_all(s.text, pattern, F.lit(0)), lambda m: F.struct(m.alias("m"), F.when(~m.rlike(rf"\A{PLACEHOLDER}\z"), made(m)).alias("r")))
+
+        def put(found):
+            shown = F.filter(found, lambda x: x.r.isNotNull())
+            gaps = F.split(s.text, pattern, -1)
+            pieces = F.transform(found, lambda x, i: F.concat(F.get(gaps, i), F.coalesce(x.r, x.m)))
+            text = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(found)))
+            new = F.transform(shown, lambda x: F.struct(x.r.alias("replacement"), F.array(x.m).alias("originals")))
+            return F.when(F.size(shown) > 0, F.struct(text.alias("text"), merge_references(F.concat(s.references, new)).alias("references"))).otherwise(F.struct(s.text, s.references))
+
+        return let(found, put)
 
     return let(state, lambda s: F.when(pattern.isNull() | s.text.isNull(), F.struct(s.text, s.references)).otherwise(done(s)))
 
@@ -92,11 +102,13 @@ def patient_variants(first_name: Column, last_name: Column) -> Column:
     return F.concat(person_variants(full), F.array(F.coalesce(first_name, F.lit("")), F.coalesce(last_name, F.lit(""))))
 
 
-def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], name_like: bool = False) -> DataFrame:
+def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], name_like: bool = False, secret_hex: Column | None = None, shift: Column | None = None) -> DataFrame:
     """Adds out, struct<text, references, warnings>: the guaranteed cleanup of source, struct<text, references>, for a row's settings.
 
     The patient's names become [PATIENT]; spellings of the birth date the next DATE; each other name the next PERSON;
     each address the next LOCATION. A number that wasn't used is taken by the next literal. Null text stays null.
+    With a secret and a shift, names become the pseudonym of the configured name in the case style of what was matched, and
+    spellings of the birth date are shifted.
     Each step is a projection of its own, so no step is computed twice.
     """
     person_sep, address_sep = (r"[\s,._/-]+",) * 2 if name_like else (r"[\s,.'’`-]+", r"[\W_]+")
@@ -111,19 +123,39 @@ def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], n
     def each(s, values, tag):
         return F.aggregate(values, s.cast(kind), lambda acc, p: replace_literals(acc, p, placeholder(acc, tag)).cast(kind))
 
+    def named(s, values):
+        return F.aggregate(values, s.cast(kind), lambda acc, p: replace_literals(acc, p["pattern"], lambda m: match_case(p["pseudonym"], m)).cast(kind))
+
+    def sources(values, variants):
+        """Patterns of configured names with their pseudonyms."""
+        return F.transform(values, lambda v: F.struct(literals_pattern(variants(v), person_sep, name_like).alias("pattern"), person_pseudonym(secret_hex, v).alias("pseudonym")))
+
+    smart = secret_hex is not None
     c = F.col("_clean")
     df = df.withColumn("_clean", F.struct(F.col(source).text.alias("text"), F.coalesce(F.col(source).references, F.array().cast(REFERENCES)).alias("references")))
     if "last_name" in settings:
-        df = df.withColumn("_p", literals_pattern(patient_variants(settings["first_name"], settings["last_name"]), person_sep, name_like))
-        df = df.withColumn("_clean", replace_literals(c, F.col("_p"), F.lit("[PATIENT]"))).drop("_p")
+        first, last = settings["first_name"], settings["last_name"]
+        if smart:
+            full = F.concat_ws(" ", F.when(F.trim(first) != "", first), F.when(F.trim(last) != "", last))
+            parts = F.filter(F.array(full, first, last), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+            df = df.withColumn("_p", sources(F.array_distinct(parts), person_variants))
+            df = df.withColumn("_clean", named(c, F.col("_p"))).drop("_p")
+        else:
+            df = df.withColumn("_p", literals_pattern(patient_variants(first, last), person_sep, name_like))
+            df = df.withColumn("_clean", replace_literals(c, F.col("_p"), F.lit("[PATIENT]"))).drop("_p")
     if "birthdate" in settings:
         # separators of dates are kept apart: 1-2-1990 isn't 12-1990
-        ranked = F.array_sort(F.transform(birthdate_variants(settings["birthdate"]), lambda v: F.struct((-F.length(v)).alias("n"), _escape(v).alias("v"))))
+        spellings = birthdate_variants(settings["birthdate"], SMART_BIRTH_MONTHS) if smart else birthdate_variants(settings["birthdate"])
+        ranked = F.array_sort(F.transform(spellings, lambda v: F.struct((-F.length(v)).alias("n"), _escape(v).alias("v"))))
         rx = F.concat(F.lit(rf"(?iU)(?:{PLACEHOLDER})|(?<!\w)(?:"), F.array_join(F.transform(ranked, lambda x: x.v), "|"), F.lit(r")(?!\w)"))
         df = df.withColumn("_p", F.when(settings["birthdate"].isNotNull(), rx))
-        df = df.withColumn("_clean", replace_literals(c, F.col("_p"), placeholder(c, "DATE"))).drop("_p")
+        new = (lambda m: F.coalesce(shift_literal(m, shift), placeholder(c, "DATE"))) if smart else placeholder(c, "DATE")
+        df = df.withColumn("_clean", replace_literals(c, F.col("_p"), new)).drop("_p")
+    if smart and "other_names" in settings:
+        df = df.withColumn("_p", sources(filled("other_names"), person_variants))
+        df = df.withColumn("_clean", named(c, F.col("_p"))).drop("_p")
     for key, tag, variants, sep in (("other_names", "PERSON", person_variants, person_sep), ("custom_addresses", "LOCATION", address_variants, address_sep)):
-        if key in settings:
+        if key in settings and not (smart and key == "other_names"):
             df = df.withColumn("_p", F.transform(filled(key), pattern_of(variants, sep)))
             df = df.withColumn("_clean", each(c, F.col("_p"), tag)).drop("_p")
     warnings = F.when(c.text != F.col(source).text, F.array(F.lit(WARNING))).otherwise(none)

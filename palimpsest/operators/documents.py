@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import shift_literal
 from palimpsest.functions.keyed import automatic_shift, institution_pseudonym, person_pseudonym
-from palimpsest.functions.text import html_escape, is_placeholder, normalize_whitespace
+from palimpsest.functions.text import affixes, html_escape, is_placeholder, normalize_whitespace
 from palimpsest.operators.cleanup import Settings, cleanup
 from palimpsest.operators.html import html_pieces
 from palimpsest.operators.recognise import recognise
@@ -42,11 +42,12 @@ def with_pseudonyms(replaced: Column, secret_hex: Column, shift: Column) -> Colu
     return F.transform(replaced, one)
 
 
-def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, normalize: bool = True, secret_hex: Column | None = None, name_like: bool = False) -> DataFrame:
+def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, normalize: bool = True, secret_hex: Column | None = None, name_like: bool = False, given: list[str] = ()) -> DataFrame:
     """Adds out, struct<text, references, warnings> of the text column source; null for null, and blank text as it is.
 
     With secret_hex, persons, institutions and dates get pseudonyms; the shift is the settings' own or the keyed automatic one of
-    the patient's name. Then the guaranteed cleanup of the settings runs over the result. Columns whose names begin with an
+    the patient's name. Then the guaranteed cleanup of the settings runs over the result. White space around the text stays as it is
+    where it isn't normalised. Columns whose names begin with an
     underscore are used in between.
     """
     extra: list[tuple[str, str]] = []
@@ -56,25 +57,27 @@ def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[s
         settings = settings.columns()
     src = F.col(source)
     full = ~src.rlike(BLANK)
-    df = df.withColumn("_t", F.when(full, normalize_whitespace(src) if normalize else src))
-    df = df.withColumn("_s", recognise(F.col("_t"), flags, extra)).withColumn("_s", numbered(F.col("_s")))
+    df = df.withColumn("_a", affixes(src)).withColumn("_t", F.when(full, normalize_whitespace(src) if normalize else F.col("_a.core")))
+    df = df.withColumn("_s", recognise(F.col("_t"), flags, extra, given=given)).withColumn("_s", numbered(F.col("_s")))
     if secret_hex is not None:
         subject = F.lower(F.concat_ws(" ", settings.get("first_name", F.lit("")), settings.get("last_name", F.lit(""))))
         df = df.withColumn("_d", F.coalesce(settings.get("date_shift_days", F.lit(None).cast("int")), automatic_shift(secret_hex, subject)))
-        df = df.withColumn("_s", with_pseudonyms(F.col("_s"), secret_hex, F.col("_d"))).drop("_d")
+        df = df.withColumn("_s", with_pseudonyms(F.col("_s"), secret_hex, F.col("_d")))
     df = df.withColumn("_r", F.struct(render(F.col("_t"), F.col("_s")).alias("text"), references_of(F.col("_s")).alias("references")))
-    df = cleanup(df, "_r", "_o", settings, name_like)
+    df = cleanup(df, "_r", "_o", settings, name_like, secret_hex, None if secret_hex is None else F.col("_d")).drop("_d")
     blank = F.struct(src.alias("text"), F.array().cast(REFERENCES).alias("references"), F.array().cast("array<string>").alias("warnings"))
-    return df.withColumn(out, F.when(full, F.col("_o")).when(src.isNotNull(), blank)).drop("_t", "_s", "_r", "_o")
+    if not normalize:
+        df = df.withColumn("_o", F.struct(F.concat(F.col("_a.lead"), F.col("_o.text"), F.col("_a.tail")).alias("text"), F.col("_o.references").alias("references"), F.col("_o.warnings").alias("warnings")))
+    return df.withColumn(out, F.when(full, F.col("_o")).when(src.isNotNull(), blank)).drop("_a", "_t", "_s", "_r", "_o")
 
 
-def deidentify_pages(df: DataFrame, pages: str, out: str, settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, secret_hex: Column | None = None) -> DataFrame:
+def deidentify_pages(df: DataFrame, pages: str, out: str, settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, secret_hex: Column | None = None, given: list[str] = ()) -> DataFrame:
     """Adds out, struct<text, pages, references, warnings>: pages processed as one document, so numbers run through it.
 
     If the number of pages differs afterwards, pages are dropped and the text keeps the whole.
     """
     joined = F.array_join(F.transform(F.col(pages), lambda p: normalize_whitespace(F.coalesce(p, F.lit("")))), f"\n\n{PAGE_BREAK}\n\n")
-    df = deidentify(df.withColumn("_joined", F.when(F.size(pages) > 0, joined)), "_joined", "_j", settings, flags, normalize=False, secret_hex=secret_hex)
+    df = deidentify(df.withColumn("_joined", F.when(F.size(pages) > 0, joined)), "_joined", "_j", settings, flags, normalize=False, secret_hex=secret_hex, given=given)
     df = df.withColumn("_parts", F.transform(F.split(F.col("_j.text"), rf"\s*{PAGE_BREAK}\s*", -1), lambda p: F.trim(p)))
     full = F.array_join(F.filter(F.col("_parts"), lambda p: p != ""), "\n\n")
     kept = F.when(F.size("_parts") == F.size(pages), F.col("_parts")).otherwise(F.array().cast("array<string>"))
@@ -82,47 +85,65 @@ def deidentify_pages(df: DataFrame, pages: str, out: str, settings: Settings | d
     return df.withColumn(out, F.when(F.col("_j").isNotNull(), whole)).drop("_joined", "_j", "_parts")
 
 
-def deidentify_html(df: DataFrame, page: str, out: str, key: list[str], settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, secret_hex: Column | None = None) -> DataFrame:
-    """(*key, out) with out a struct<text, references, warnings> of each page: text runs and text attributes are rewritten,
+def deidentify_html(df: DataFrame, page: str, out: str, key: list[str], settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, secret_hex: Column | None = None, given: list[str] = (), carried: list[str] = ()) -> DataFrame:
+    """(*key, out) with out a struct<text, references, warnings, error> of each page: text runs and text attributes are rewritten,
     markup, scripts and comments stay.
 
     Numbers restart with every fragment; references of one placeholder are merged over the page. key must be
-    distinct. Fragments are rows of their own, gathered by key again: one shuffle of the pages' pieces.
+    distinct; carried are the columns that per-row settings use. error is null unless the page can't be parsed. Fragments are rows of their own, gathered by key again: one shuffle of the pages' pieces.
     """
-    cut = df.select(*key, F.posexplode(html_pieces(F.col(page))).alias("_pos", "_piece")).select(*key, "_pos", F.col("_piece.kind").alias("_kind"), F.col("_piece.text").alias("_text"))
-    cut = deidentify(cut.withColumn("_own", F.when(F.col("_kind") != "markup", F.col("_text"))), "_own", "_x", settings, flags, normalize=False, secret_hex=secret_hex)
+    cut = df.select(*key, *carried, F.posexplode(html_pieces(F.col(page))).alias("_pos", "_piece")).select(*key, *carried, "_pos", F.col("_piece.kind").alias("_kind"), F.col("_piece.text").alias("_text"))
+    cut = deidentify(cut.withColumn("_own", F.when(F.col("_kind").isin("text", "attribute"), F.col("_text"))), "_own", "_x", settings, flags, normalize=False, secret_hex=secret_hex, given=given)
     shown = F.when(F.col("_kind") == "markup", F.col("_text")).when(F.col("_kind") == "text", html_escape(F.col("_x.text"))).otherwise(html_escape(F.col("_x.text"), True))
+    failed = F.when(F.col("_kind") == "error", F.col("_text"))
     piece = F.struct("_pos", shown.alias("text"), F.coalesce(F.col("_x.references"), F.array().cast(REFERENCES)).alias("references"), F.coalesce(F.col("_x.warnings"), F.array().cast("array<string>")).alias("warnings"))
-    parts = cut.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("_all"))
+    parts = cut.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("_all"), F.max(failed).alias("_error"))
     joined = F.struct(
         F.array_join(F.transform("_all", lambda r: r.text), "").alias("text"),
         merge_references(F.flatten(F.transform("_all", lambda r: r.references))).alias("references"),
         F.array_distinct(F.flatten(F.transform("_all", lambda r: r.warnings))).alias("warnings"),
+        F.col("_error").alias("error"),
     )
     return parts.select(*key, joined.alias(out))
 
 
-def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_hex: Column | None = None) -> DataFrame:
+#: What may be configured per dossier, as columns.
+PER_DOSSIER = ["first_name", "last_name", "birthdate", "other_names", "custom_addresses", "date_shift_days"]
+
+
+def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_hex: Column | None = None, given: list[str] = (), dossiers: DataFrame | None = None) -> DataFrame:
     """(document_id, output_text, pdf_page_texts, placeholder_references, warnings, status, error_message) of each distinct imported id.
 
-    Of a redelivered id the row that arrived last counts. A document without text is a row with status "error"; others are "ready". Each
-    kind has its own branch, so only HTML reaches the parser and only paged documents are joined.
+    Of a redelivered id the row that arrived last counts. A document without text, or that can't be parsed, is a row with status
+    "error" and a message; others are "ready", and none stops another. Each kind has its own branch, so only HTML reaches the parser
+    and only paged documents are joined. With dossiers (settings_id and PER_DOSSIER, one row each) a document is processed with the
+    settings of its own dossier, or with none.
     """
-    rows = docs.filter("id is not null").select(F.col("id").alias("document_id"), "source_kind", "raw_text", F.col("pdf_pages.text").alias("pages"), *(["arrived_at"] if "arrived_at" in docs.columns else []))
-    if "arrived_at" in docs.columns:
-        rows = by_key(rows, "document_id").groupBy("document_id").agg(F.max_by(F.struct("source_kind", "raw_text", "pages"), "arrived_at").alias("d")).select("document_id", "d.*")
+    dated = ["arrived_at"] if "arrived_at" in docs.columns else []
+    own = ["settings_id"] if dossiers is not None else []
+    rows = docs.filter("id is not null").select(F.col("id").alias("document_id"), "source_kind", "raw_text", F.col("pdf_pages.text").alias("pages"), *own, *dated)
+    if dated:
+        rows = by_key(rows, "document_id").groupBy("document_id").agg(F.max_by(F.struct("source_kind", "raw_text", "pages", *own), "arrived_at").alias("d")).select("document_id", "d.*")
+    carried: list[str] = []
+    if dossiers is not None:
+        carried = [f"own_{c}" for c in PER_DOSSIER]
+        rows = rows.join(dossiers.select("settings_id", *(F.col(c).alias(f"own_{c}") for c in PER_DOSSIER)), "settings_id", "left")
+        settings = {c: F.col(f"own_{c}") for c in PER_DOSSIER}
     blank = F.coalesce(F.col("raw_text").rlike(BLANK), F.lit(True))
     paged = ~blank & F.coalesce((F.col("source_kind") == "pdf") & (F.size("pages") > 0), F.lit(False))
     is_html = ~blank & F.coalesce(F.col("source_kind") == "html", F.lit(False))
     none = F.array().cast("array<string>")
-    with_pages = lambda df: df.select("document_id", F.struct(F.col("r.text"), none.alias("pages"), F.col("r.references"), F.col("r.warnings")).alias("r"))
-    text = with_pages(deidentify(rows.filter(~blank & ~paged & ~is_html), "raw_text", "r", settings, secret_hex=secret_hex))
-    pdf = deidentify_pages(rows.filter(paged), "pages", "r", settings, secret_hex=secret_hex).select("document_id", "r")
-    page = with_pages(deidentify_html(rows.filter(is_html), "raw_text", "r", ["document_id"], settings, secret_hex=secret_hex))
-    failed = rows.filter(blank).select("document_id", F.lit(None).cast(text.schema["r"].dataType).alias("r"))
+    how = {"settings": settings, "secret_hex": secret_hex, "given": given}
+    whole = F.struct(F.col("r.text"), none.alias("pages"), F.col("r.references"), F.col("r.warnings"))
+    said = F.lit(None).cast("string").alias("message")
+    text = deidentify(rows.filter(~blank & ~paged & ~is_html), "raw_text", "r", **how).select("document_id", whole.alias("r"), said)
+    pdf = deidentify_pages(rows.filter(paged), "pages", "r", **how).select("document_id", "r", said)
+    page = deidentify_html(rows.filter(is_html), "raw_text", "r", ["document_id"], carried=carried, **how)
+    page = page.select("document_id", F.when(F.col("r.error").isNull(), whole).alias("r"), F.col("r.error").alias("message"))
+    failed = rows.filter(blank).select("document_id", F.lit(None).cast(text.schema["r"].dataType).alias("r"), F.lit("The document has no text.").alias("message"))
     return text.unionByName(pdf).unionByName(page).unionByName(failed).select(
         "document_id", F.col("r.text").alias("output_text"), F.col("r.pages").alias("pdf_page_texts"), F.col("r.references").alias("placeholder_references"), F.coalesce("r.warnings", none).alias("warnings"),
-        F.when(F.col("r").isNull(), "error").otherwise("ready").alias("status"), F.when(F.col("r").isNull(), "The document has no text.").alias("error_message"),
+        F.when(F.col("r").isNull(), "error").otherwise("ready").alias("status"), F.col("message").alias("error_message"),
     )
 
 

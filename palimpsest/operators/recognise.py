@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.operators.spans import drop_articles, regex_spans, without_overlaps
+from palimpsest.functions.text import let
+from palimpsest.operators.spans import drop_articles, merge_adjacent, regex_spans, without_overlaps
 
 #: Groups in the order of the flags.
 GROUPS = ["names", "locations", "institutions", "dates", "ages", "identifiers", "phone_numbers", "email_addresses", "urls"]
@@ -15,6 +16,7 @@ GROUPS = ["names", "locations", "institutions", "dates", "ages", "identifiers",
 FRENCH_MONTHS = "janvier|janv|fevrier|février|fevr|févr|mars|avril|mai|juin|juillet|aout|août|septembre|sept|octobre|oct|novembre|nov|decembre|décembre|dec"
 _MONTHS = f"{FRENCH_MONTHS}|januari|jan|februari|feb|maart|mrt|april|apr|mei|juni|jun|juli|jul|augustus|aug|september|sep|oktober|okt|november|december|january|february|march|may|june|july|august|october"
 _YEAR = r"(?:(?:19|20|['`])?\d{2})"
+_DIGIT, _MONTH_GUARD = "[0-9]", rf"(?iu)(?:{_MONTHS})"
 _NAME = r"[\p{Lu}][\p{L}'’-]+"
 _PARTICLE = r"(?:[Vv]an(?:\s+de[nr]?)?|[Dd]en?|[Dd]er|[Dd]u|[Ll]e|[Ll]a|[Tt]er)"
 
@@ -26,7 +28,7 @@ class Recogniser:
     tag: str
     pattern: str
     capture: int = 0
-    #: A cheap test that must hold for the pattern to be tried; a guard, not a condition of the result.
+    #: A cheap test that must hold for the pattern to be tried: one sign, or a Java pattern of words. A guard, not a condition of the result.
     guard: str | None = None
 
 
@@ -34,40 +36,74 @@ EMAIL = Recogniser("email", "email_addresses", "email", r"(?iU)(?<!\w)[A-Z0-9._%
 RECOGNISERS = [
     EMAIL,
     Recogniser("url", "urls", "url", r"(?iU)(?<!\w)(?:https?://|www\.)[^\s<>\"']+[^\s<>\"'.,;:)]", guard="."),
-    Recogniser("national_number", "identifiers", "national_register_number", r"(?<![\d/.-])\d{2}[./ ]?\d{2}[./ ]?\d{2}[ -]?\d{3}[ .-]?\d{2}(?![\d/.-])"),
-    Recogniser("phone", "phone_numbers", "phone_number", r"(?<![\w/+-])(?:(?:\+|00)\d{2}[ ./-]?(?:\(0\))?|\(0\d{1,3}\)|0\d{1,3})[ ./-]?\d{2,3}(?:[ ./-]?\d{2,4}){2,3}(?![\w/-])"),
-    Recogniser("date_dmy_text", "dates", "datum", rf"(?iu)(?<![\w-])\d{{1,2}}[-/. ]{{0,2}}(?:{_MONTHS})\.?[-/. ]{_YEAR}(?!\w)"),
-    Recogniser("date_ymd_text", "dates", "datum", rf"(?iu)(?<![\w-]){_YEAR}[-/. ]{{0,2}}(?:{_MONTHS})\.?[-/. ]\d{{1,2}}(?!\w)"),
-    Recogniser("date_numbers", "dates", "datum", r"(?<![\d./-])(?:\d{1,2}([./-])\d{1,2}\1(?:\d{4}|\d{2})|\d{4}([./-])\d{1,2}\2\d{1,2})(?![\d/-]|\.\d)"),
-    Recogniser("age", "ages", "leeftijd", r"(?iU)(?<!\w)\d{1,3}(?:\s*-?\s*(?:jaar|jarige|years?|ans|Jahre)(?:\s+(?:oud|old|alt))?)(?!\w)"),
-    Recogniser("hospital", "institutions", "hospital", rf"(?U)(?<!\w)(?:AZ|UZ|CHU|CHR|Clinique|Hopital|Hôpital|Ziekenhuis|Kliniek)(?:\s+(?:de|du|des|la|Ter|{_NAME}))+(?:\s+-\s+Site\s+\p{{Lu}}+)?"),
-    Recogniser("institution", "institutions", "zorginstelling", rf"(?U)(?<!\w)(?:Woonzorgcentrum|WZC|Praktijk|Huisartsenpraktijk|Cabinet|Centre Médical|Rusthuis)(?:\s+(?:de|du|des|la|Ter|{_NAME}))+"),
-    Recogniser("postcode_locality", "locations", "location", rf"(?U)(?<![\w/.-])(?:B-?\s?|BE-?\s?)?\d{{4}}\s+{_NAME}(?!\w)"),
-    Recogniser("street", "locations", "location", rf"(?U)(?<!\w)(?:(?:Rue|Avenue|Boulevard|Place|Chaussée|Allée)(?:\s+(?:de la|de|du|des))?\s+{_NAME}|\p{{Lu}}[\p{{L}}-]+(?:straat|laan|steenweg|plein|kaai|dreef))\s+\d{{1,3}}\p{{L}}?(?!\w)"),
+    Recogniser("date_dmy_text", "dates", "datum", rf"(?iu)(?<![\w-])\d{{1,2}}[-/. ]{{0,2}}(?:{_MONTHS})\.?[-/. ]{_YEAR}(?!\w)", guard=_MONTH_GUARD),
+    Recogniser("date_ymd_text", "dates", "datum", rf"(?iu)(?<![\w-]){_YEAR}[-/. ]{{0,2}}(?:{_MONTHS})\.?[-/. ]\d{{1,2}}(?!\w)", guard=_MONTH_GUARD),
+    Recogniser("date_numbers", "dates", "datum", r"(?<![\d./-])(?:\d{1,2}([./-])\d{1,2}\1(?:\d{4}|\d{2})|\d{4}([./-])\d{1,2}\2\d{1,2})(?![\d/-]|\.\d)", guard=_DIGIT),
+    Recogniser("national_number", "identifiers", "national_register_number", r"(?<![\d/.-])\d{2}[./ ]?\d{2}[./ ]?\d{2}[ -]?\d{3}[ .-]?\d{2}(?![\d/.-])", guard=_DIGIT),
+    Recogniser("phone", "phone_numbers", "phone_number", r"(?<![\w/+-])(?:(?:\+|00)\d{2}[ ./-]?(?:\(0\))?|\(0\d{1,3}\)|0\d{1,3})[ ./-]?\d{2,3}(?:[ ./-]?\d{2,4}){2,3}(?![\w/-])", guard=_DIGIT),
+    Recogniser("age", "ages", "leeftijd", r"(?iU)(?<!\w)\d{1,3}(?:\s*-?\s*(?:jaar|jarige|years?|ans|Jahre)(?:\s+(?:oud|old|alt))?)(?!\w)", guard=_DIGIT),
+    Recogniser("hospital", "institutions", "hospital", rf"(?U)(?<!\w)(?:AZ|UZ|CHU|CHR|Clinique|Hopital|Hôpital|Ziekenhuis|Kliniek)(?:\s+(?:de|du|des|la|Ter|{_NAME}))+(?:\s+-\s+Site\s+\p{{Lu}}+)?", guard=r"AZ|UZ|CH[UR]|[CH][lo]|Hô|Zi|Kl"),
+    Recogniser("institution", "institutions", "zorginstelling", rf"(?U)(?<!\w)(?:Woonzorgcentrum|WZC|Praktijk|Huisartsenpraktijk|Cabinet|Centre Médical|Rusthuis)(?:\s+(?:de|du|des|la|Ter|{_NAME}))+", guard=r"Wo|WZC|Pr|Hu|Ca|Ce|Ru"),
+    Recogniser("postcode_locality", "locations", "location", rf"(?U)(?<![\w/.-])(?:B-?\s?|BE-?\s?)?\d{{4}}\s+{_NAME}(?!\w)", guard=_DIGIT),
+    Recogniser("street", "locations", "location", rf"(?U)(?<!\w)(?:(?:Rue|Avenue|Boulevard|Place|Chaussée|Allée)(?:\s+(?:de la|de|du|des))?\s+{_NAME}|\p{{Lu}}[\p{{L}}-]+(?:straat|laan|steenweg|plein|kaai|dreef))\s+\d{{1,3}}\p{{L}}?(?!\w)", guard=_DIGIT),
     Recogniser("titled_person", "names", "persoon", rf"(?U)(?<!\w)(?:(?:[Dd]r|[Pp]rof|Mevr|Dhr|Pr|Mr|Mrs)\.?|dokter|docteur|Mme|Frau|Herrn?)\s+((?:{_PARTICLE}\s+)?{_NAME}(?:\s+(?:{_PARTICLE}|{_NAME}))*(?:,?\s+\p{{Lu}}\.)?)", 1),
 ]
 
 
-def recognise(text: Column, flags: dict[str, bool] | None = None, extra: list[tuple[str, str]] = (), recognisers: list[Recogniser] = RECOGNISERS) -> Column:
+#: A run of capitalised words with particles and initials between, or such words with a comma.
+NAME_RUN = rf"(?U)(?<![\w@.-])(?:{_PARTICLE}\s+)?{_NAME}(?:,?[ \n](?:{_PARTICLE}[ \n])*(?:{_NAME}|\p{{Lu}}\.?(?![\w])))*"
+
+
+def general_names(text: Column, given: list[str]) -> Column:
+    """Spans of persons without a title: runs of capitalised words from the first word on that is a given name of the list.
+
+    A run that ends with its only given name begins one word earlier, as family names may come first.
+    """
+    known = F.array(*[F.lit(g.lower()) for g in sorted({g.lower() for g in given})])
+    word = r"(?U)[\p{L}'’-]+"
+
+    def cut(s):
+        words = F.regexp_extract_all(s.text, F.lit(word), F.lit(0))
+        hits = F.transform(words, lambda w: F.array_contains(known, F.lower(w)))
+
+        def placed(at):
+            first = F.when((at == F.size(words)) & (at > 1), at - 1).otherwise(at)
+            gaps = F.split(s.text, word, -1)
+            lead = F.aggregate(F.slice(F.arrays_zip(gaps.alias("g"), words.alias("w")), 1, F.greatest(first - 1, F.lit(0))), F.lit(0), lambda n, x: n + F.length(F.coalesce(x.g, F.lit(""))) + F.length(F.coalesce(x.w, F.lit(""))))
+            begin = lead + F.length(F.coalesce(F.get(gaps, first - 1), F.lit("")))
+            return F.struct(F.substring(s.text, begin + 1, F.length(s.text)).alias("text"), s.tag.alias("tag"), (s.start + begin).cast("int").alias("start"), s.end.alias("end"))
+
+        return let(F.array_position(hits, True).cast("int"), lambda at: F.when(at > 0, placed(at)))
+
+    return F.filter(F.transform(regex_spans(text, NAME_RUN, "persoon"), cut), lambda s: s.isNotNull())
+
+
+def recognise(text: Column, flags: dict[str, bool] | None = None, extra: list[tuple[str, str]] = (), recognisers: list[Recogniser] = RECOGNISERS, given: list[str] = ()) -> Column:
     """Spans of a text, sorted and apart from each other.
 
     flags: groups that are on, all by default; a group that is off costs nothing. extra: (tag, Java pattern) of
-    configured literals, which come first and don't depend on the flags. With e-mail addresses off, no span may
-    overlap one, so that they stay as they are.
+    configured literals, which come first and don't depend on the flags. given: given names by which persons without a title are
+    known. With e-mail addresses off, no span may overlap one, so that they stay as they are. Neighbouring spans of persons or of
+    locations are one.
     """
     on = lambda g: True if flags is None else flags.get(g, True)
 
     def spans(r: Recogniser) -> Column:
         found = regex_spans(text, r.pattern, r.tag, r.capture)
-        return found if r.guard is None else F.when(F.contains(text, F.lit(r.guard)), found).otherwise(F.array().cast(found_type))
+        if r.guard is None:
+            return found
+        test = text.rlike(r.guard) if len(r.guard) > 1 else F.contains(text, F.lit(r.guard))
+        return F.when(test, found).otherwise(F.array().cast(found_type))
 
     found_type = "array<struct<text:string,tag:string,start:int,end:int>>"
     ranked = [] if on("email_addresses") else [spans(EMAIL)]
     ranked += [regex_spans(text, p, tag) for tag, p in extra]
     ranked += [spans(r) for r in recognisers if on(r.group)]
+    if given and on("names"):
+        ranked.append(general_names(text, given))
     if not ranked:
         return F.when(text.isNotNull(), F.array().cast(found_type))
     kept = without_overlaps(F.array(*ranked))
     if not on("email_addresses"):
         kept = F.filter(kept, lambda s: s.tag != EMAIL.tag)
-    return drop_articles(text, kept)
+    return drop_articles(text, merge_adjacent(text, kept))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import within_one_edit
+from palimpsest.functions.text import let, within_one_edit
 
 SPAN = "struct<text:string,tag:string,start:int,end:int>"
 #: Canonical tags and the placeholders' names; other tags are upper-cased.
@@ -36,9 +36,6 @@ def regex_spans(text: Column, pattern: str, tag: str, group: int = 0) -> Column:
     must occur in the match once; its offset is found inside the match.
     """
     rx = F.lit(pattern)
-    gaps = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
-    inner = whole if not group else F.regexp_extract_all(text, rx, F.lit(group))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc, x):
@@ -48,8 +45,15 @@ def regex_spans(text: Column, pattern: str, tag: str, group: int = 0) -> Column:
         span = F.struct(x.part.alias("text"), F.lit(tag).alias("tag"), begin.cast("int").alias("start"), (begin + F.length(x.part)).cast("int").alias("end"))
         return F.struct((start + F.length(x.whole)).alias("at"), F.array_append(acc.out, span).alias("out"))
 
-    zipped = F.transform(whole, lambda w, i: F.struct(F.get(gaps, i).alias("gap"), w.alias("whole"), F.get(inner, i).alias("part")))
-    return F.when(text.isNotNull(), F.aggregate(zipped, zero, step, lambda a: F.filter(a.out, lambda s: F.length(s.text) > 0)))
+    def placed(whole):
+        gaps = F.split(text, pattern, -1)
+        inner = whole if not group else F.regexp_extract_all(text, rx, F.lit(group))
+        zipped = F.transform(whole, lambda w, i: F.struct(F.get(gaps, i).alias("gap"), w.alias("whole"), F.get(inner, i).alias("part")))
+        return F.aggregate(zipped, zero, step, lambda a: F.filter(a.out, lambda s: F.length(s.text) > 0))
+
+    # a text is split only when something was found in it
+    found = let(F.regexp_extract_all(text, rx, F.lit(0)), lambda w: F.when(F.size(w) > 0, placed(w)).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return F.when(text.isNotNull(), found)
 
 
 def sort_spans(spans: Column) -> Column:
@@ -69,6 +73,24 @@ def without_overlaps(ranked: Column) -> Column:
     return sort_spans(F.transform(kept, lambda s: F.struct(s.text, s.tag, s.start, s.end)))
 
 
+#: Tags whose neighbouring spans are one item when only this stands between them.
+MERGED, SLACK = ["PERSON", "LOCATION"], r"\A[.\s,-]?[.\s]?\z"
+
+
+def merge_adjacent(text: Column, spans: Column) -> Column:
+    """Sorted spans without overlaps, neighbours of one tag (persons, locations) with a sign or a blank between as one span."""
+    empty = F.array().cast(f"array<{SPAN}>")
+
+    def step(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        gap = F.substring(text, last.end + 1, s.start - last.end)
+        whole = F.struct(F.substring(text, last.start + 1, s.end - last.start).alias("text"), last.tag.alias("tag"), last.start.alias("start"), s.end.alias("end"))
+        same = placeholder_name(last.tag).isin(MERGED) & (placeholder_name(last.tag) == placeholder_name(s.tag)) & gap.rlike(SLACK)
+        return F.when(same, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), whole)).otherwise(F.array_append(acc, F.struct(s.text.alias("text"), s.tag.alias("tag"), s.start.alias("start"), s.end.alias("end"))))
+
+    return F.aggregate(spans, empty, step)
+
+
 def drop_articles(text: Column, spans: Column) -> Column:
     """Without person spans that are an article before "patient"."""
     articles = ["de", "den", "der", "la", "le", "les"]
@@ -93,12 +115,15 @@ def numbered(spans: Column) -> Column:
     def step(acc, s):
         name = placeholder_name(s.tag)
         mine = F.filter(acc.seen, lambda o: o["name"] == name)
-        same = F.filter(mine, lambda o: within_one_edit(o["text"], s.text))
+        near = F.filter(mine, lambda o: within_one_edit(o["text"], s.text))
+        same = F.when(F.get(mine, F.lit(0))["text"] == s.text, F.slice(mine, 1, 1)).otherwise(near)
         n = F.coalesce(F.get(same, F.lit(0)).n, F.coalesce(F.array_max(F.transform(mine, lambda o: o.n)), F.lit(0)) + 1)
         patient = canonical_tag(s.tag) == "patient"
         shown = F.when(patient, "[PATIENT]").otherwise(F.concat(F.lit("["), name, F.lit("-"), n.cast("string"), F.lit("]")))
         one = F.struct(s.start.alias("start"), s.end.alias("end"), s.text.alias("text"), s.tag.alias("tag"), shown.alias("replacement"))
-        seen = F.when(patient, acc.seen).otherwise(F.array_append(acc.seen, F.struct(name.alias("name"), s.text.alias("text"), n.cast("int").alias("n"))))
+        # a text that was seen adds nothing: the fold looks at distinct texts only
+        known = patient | F.exists(mine, lambda o: o["text"] == s.text)
+        seen = F.when(known, acc.seen).otherwise(F.array_append(acc.seen, F.struct(name.alias("name"), s.text.alias("text"), n.cast("int").alias("n"))))
         return F.struct(seen.alias("seen"), F.array_append(acc.out, one).alias("out"))
 
     start = F.struct(empty.alias("seen"), F.array().cast("array<struct<start:int,end:int,text:string,tag:string,replacement:string>>").alias("out"))

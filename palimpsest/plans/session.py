@@ -38,10 +38,12 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     own = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not own:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         sc.setCheckpointDir(own)
     return own.rstrip("/")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from palimpsest.functions.dates import parse_birthdate, safe_shift
+from palimpsest.sources.pdf import extract_pages
 from palimpsest.functions.text import best_candidate, list_lines, normalize_page_text, strip
 
 IMPORTED = "id string, source_kind string, display_name string, path string, raw_text string, pdf_pages array<struct<text:string,width:double,height:double>>, status string, error_message string"
 WIDTH, HEIGHT = 612.0, 792.0
+NO_TEXT = "The PDF does not contain readable text."
 BAD_KIND = "The file type is not supported."
 
 
@@ -61,9 +63,11 @@ def pages_from_candidates(candidates: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, extract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Imported documents of all files under a path; the id is a hash of the file's path.
 
-    extract turns (id, content) of PDF files into pages_from_candidates' input. Without it, PDF files are rows with
-    status "error", as are files of other kinds: one file never fails the job.
+    extract turns (id, content) of PDF files into pages_from_candidates' input; palimpsest.sources.pdf reads text PDFs unless
+    another one is given. Files without readable text and files of other kinds are rows with status "error": one file never
+    fails the job.
     """
+    extract = extract or extract_pages
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = files.select(F.sha2("path", 256).alias("id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("display_name"), "path", "content", file_kind(F.col("path")).alias("source_kind"))
     no_pages = F.lit(None).cast("array<struct<text:string,width:double,height:double>>")
@@ -73,14 +77,17 @@ def read_documents(spark: SparkSession, path: str, extract: Callable[[DataFrame]
     failed = lambda df, message: df.withColumn("raw_text", F.lit(None).cast("string")).withColumn("pdf_pages", no_pages).withColumn("status", F.lit("error")).withColumn("error_message", F.lit(message)).select(row)
     others = failed(base.filter(F.col("source_kind").isNull()), BAD_KIND)
     pdf = base.filter(F.col("source_kind") == "pdf")
-    if extract is None:
-        return texts.unionByName(others).unionByName(failed(pdf, "No extractor of page texts is configured."))
     pages = pdf.select("id", "source_kind", "display_name", "path").join(pages_from_candidates(extract(pdf.select("id", "content"))), "id", "left")
     blank = F.coalesce(F.col("raw_text") == "", F.lit(True))
-    pages = pages.withColumn("status", F.when(blank, "error").otherwise("pending")).withColumn("error_message", F.when(blank, "The document has no readable text.")).withColumn("raw_text", F.when(~blank, F.col("raw_text")))
+    pages = pages.withColumn("status", F.when(blank, "error").otherwise("pending")).withColumn("error_message", F.when(blank, NO_TEXT)).withColumn("raw_text", F.when(~blank, F.col("raw_text")))
     return texts.unionByName(others).unionByName(pages.select(row))
 
 
+def stream_files(spark: SparkSession, path: str, at_once: int = 1) -> DataFrame:
+    """(path, modificationTime, length, content) of the files that come to a folder, at_once of them in a micro-batch at most."""
+    return spark.readStream.format("binaryFile").option("maxFilesPerTrigger", at_once).load(path)
+
+
 def pasted(texts: DataFrame, text: str = "text") -> DataFrame:
     """Pasted texts as documents; the id is a hash of the trimmed text. Blank ones are left out."""
     t = texts.select(strip(F.col(text)).alias("raw_text")).filter("raw_text != ''")

@@ -6,12 +6,15 @@ stateless, so the only state is what the sink table holds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palimpsest.plans.session import materialize
+
 
 def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The newest row of each key: a partial aggregate, so that a hot key isn't sorted or gathered."""
@@ -46,20 +49,49 @@ def can_export(processed: Column, active: Column, importing: Column, pasted: Col
     return processed & ~active & ~importing & ~pasted
 
 
-def run(stream: DataFrame, process: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, key: str = "id", order: list[str] = ("generation",), trigger: dict | None = None) -> StreamingQuery:
+def without_removed(documents: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
+    """Documents that weren't removed; removed has their ids, and one that is being processed is refused before it gets there."""
+    return documents.join(removed.select(key).distinct(), key, "left_anti")
+
+
+def run(stream: DataFrame, process: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, key: str = "id", order: list[str] = ("generation",), trigger: dict | None = None, debounce: str | None = None) -> StreamingQuery:
     """Processes every micro-batch: the newest row per key, then write(result, batch number).
 
-    If a whole batch fails, all its documents are written with the message and status "error"; one document's
-    failure is a column of its result and stops nothing. Bounded intake is maxFilesPerTrigger on the source; a debounce is a
-    processing-time trigger, as only the newest version of a key in it is used.
+    If the data of a batch make process fail, its documents are written with the message and status "error"; one document's
+    failure is a column of its result and stops nothing. Failures of the cluster, and of write, end the query, which
+    goes on from its checkpoint when it is started again: a batch is written once, or again under the same number.
+    Bounded intake is maxFilesPerTrigger on the source. debounce ("250 milliseconds") is a processing-time trigger: only the
+    newest version of a key in it is used. StreamingQuery.stop(), or cancellable() below, ends the work.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         newest = latest_per_key(batch, key, list(order))
         try:
-            write(process(newest), number)
-        except Exception as e:  # the batch's documents get the message, the stream goes on
-            write(newest.select(F.col(key).alias("document_id"), F.lit(None).cast("string").alias("output_text"), F.lit("error").alias("status"), F.lit(str(e)[:500]).alias("error_message")), number)
+            done = materialize(process(newest))
+        except Exception as e:
+            if not is_data_error(e):
+                raise
+            done = newest.select(F.col(key).alias("document_id"), F.lit(None).cast("string").alias("output_text"), F.lit("error").alias("status"), F.lit(str(e)[:500]).alias("error_message"))
+        write(done, number)
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return writer.trigger(**(trigger or ({"processingTime": debounce} if debounce else {"availableNow": True}))).start()
+
+
+#: What tells that the cluster failed and not the data: the batch must be tried again, not written as an error.
+CLUSTER = ["ExecutorLost", "executor lost", "FetchFailed", "heartbeat", "OutOfMemory", "No space left", "cancelled", "SparkContext was shut down"]
+
+
+def is_data_error(e: Exception) -> bool:
+    """Errors of plain Python, of analysis and of functions over the data; not those of the cluster."""
+    return not isinstance(e, (OSError, MemoryError)) and not any(w in str(e) for w in CLUSTER)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, group: str) -> Iterator[Callable[[], None]]:
+    """Jobs started inside belong to a group; the function given cancels them from another thread."""
+    spark.addTag(group)
+    try:
+        yield lambda: spark.interruptTag(group)
+    finally:
+        spark.removeTag(group)
