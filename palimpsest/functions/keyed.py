@@ -32,66 +32,91 @@ NO_OTHER = {"fr": "Polyclinique Sans Nom", "nl": "Zorgcampus Zonder Naam"}
 SEPARATOR = "\u001f"
 
 
+def key_pads(secret_hex: Column) -> Column:
+    """struct<inner, outer>: the padded keys of HMAC-SHA256 for a key of at most 64 bytes in hexadecimal; made once, used for every message."""
+    key = F.rpad(F.lower(secret_hex), 128, "0")
+    pad = lambda byte: F.unhex(F.array_join(
+        F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.lpad(F.hex(F.conv(F.substring(key, i * 8 + 1, F.lit(8)), 16, 10).cast("long").bitwiseXOR(F.lit(int(byte * 4, 16)))), 8, "0")), ""
+    ))
+    return F.struct(pad("36").alias("inner"), pad("5c").alias("outer"))
+
+
+def _mac(pads: Column, message: Column) -> Column:
+    return F.sha2(F.concat(pads["outer"], F.unhex(F.sha2(F.concat(pads["inner"], F.encode(message, "utf-8")), 256))), 256)
+
+
 def hmac_sha256(secret_hex: Column, message: Column) -> Column:
     """HMAC-SHA256 in hexadecimal of a text under a key of at most 64 bytes in hexadecimal."""
-    key = F.rpad(F.lower(secret_hex), 128, "0")
-    pad = lambda byte: F.array_join(
-        F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.lpad(F.lower(F.hex(F.conv(F.substring(key, i * 8 + 1, F.lit(8)), 16, 10).cast("long").bitwiseXOR(F.lit(int(byte * 4, 16))))), 8, "0")), ""
-    )
-    inner = F.sha2(F.concat(F.unhex(pad("36")), F.encode(message, "utf-8")), 256)
-    return F.sha2(F.concat(F.unhex(pad("5c")), F.unhex(inner)), 256)
+    return let(key_pads(secret_hex), lambda pads: _mac(pads, message))
+
+
+def _number(h: Column, n: int, part: int = 0) -> Column:
+    """A number from 0 to n - 1 from 13 digits of a hash, of its first to fourth part."""
+    return F.conv(F.substring(h, 13 * part + 1, 13), 16, 10).cast("long") % n
 
 
 def choice(secret_hex: Column, n: int, *parts: Column) -> Column:
     """A keyed number from 0 to n - 1 for the parts."""
-    h = hmac_sha256(secret_hex, F.concat_ws(SEPARATOR, *parts))
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("long") % n
+    return _number(hmac_sha256(secret_hex, F.concat_ws(SEPARATOR, *parts)), n)
+
+
+def _pick(values: list[str], h: Column, part: int = 0) -> Column:
+    # one folded literal: an array of literals would be walked by every pass of the analyser
+    return F.element_at(F.split(F.lit("|".join(values)), r"\|"), _number(h, len(values), part).cast("int") + 1)
 
 
-def _pick(values: list[str], secret_hex: Column, *parts: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), choice(secret_hex, len(values), *parts).cast("int") + 1)
+def _first_unlike(draw, pads: Column, kind: str, key: Column, attempts: int, bad) -> Column:
+    """draw(hash) of the first attempt whose result isn't bad; later ones are made only when the first is. Null if all are."""
+    made = lambda a: draw(_mac(pads, F.concat_ws(SEPARATOR, F.lit(kind), key, a)))
+    others = F.filter(F.transform(F.split(F.lit("|".join(map(str, range(1, attempts)))), r"\|"), made), lambda x: ~bad(x))
+    first = made(F.lit("0"))
+    return F.when(~bad(first), first).otherwise(F.get(others, F.lit(0)))
 
 
 def automatic_shift(secret_hex: Column, subject: Column) -> Column:
     """Days of the keyed shift: 6 to 104 whole weeks, forward or back."""
-    weeks = choice(secret_hex, 99, F.lit("date-shift"), subject) + 6
-    sign = F.when(choice(secret_hex, 2, F.lit("date-shift-sign"), subject) == 1, 1).otherwise(-1)
-    return (weeks * 7 * sign).cast("int")
 
+    def days(h):
+        return ((_number(h, 99) + 6) * 7 * F.when(_number(h, 2, 1) == 1, 1).otherwise(-1)).cast("int")
 
-def person_pseudonym(secret_hex: Column, text: Column, first: list[str] = FIRST_NAMES, last: list[str] = SURNAMES, attempts: int = 7) -> Column:
-    """A name with as many words, title kept, case style kept; another one is drawn while it equals the source."""
+    return let(hmac_sha256(secret_hex, F.concat_ws(SEPARATOR, F.lit("date-shift"), subject)), days)
 
-    def drawn(key: Column) -> Column:
-        words = F.greatest(F.size(F.split(key, " ")), F.lit(1))
 
-        def draw(attempt: Column) -> Column:
-            given = lambda i: F.element_at(F.array(*map(F.lit, first)), choice(secret_hex, len(first), F.lit("person"), key, attempt, i.cast("string")).cast("int") + 1)
-            # one word is a given name, more are given names and a surname
-            names = F.transform(F.sequence(F.lit(1), F.greatest(words - 1, F.lit(1))), given)
-            return F.array_join(F.when(words == 1, names).otherwise(F.array_append(names, _pick(last, secret_hex, F.lit("surname"), key, attempt))), " ")
+def person_of(pads: Column, key: Column, first: list[str] = FIRST_NAMES, last: list[str] = SURNAMES, attempts: int = 7) -> Column:
+    """A name with as many words as a normalised key; another one is drawn while it equals the key."""
+    words = F.greatest(F.size(F.split(key, " ")), F.lit(1))
 
-        return F.get(F.filter(F.transform(F.array(*[F.lit(str(a)) for a in range(attempts)]), draw), lambda x: F.lower(x) != key), F.lit(0))
+    def draw(h):
+        # one word is a given name, more are given names and a surname
+        names = F.transform(F.sequence(F.lit(1), F.greatest(words - 1, F.lit(1))), lambda i: _pick(first, F.sha2(F.concat_ws(SEPARATOR, h, i.cast("string")), 256)))
+        return F.concat_ws(" ", names, F.when(words > 1, _pick(last, h)))
 
-    def made(t: Column) -> Column:
-        return let(strip(t.body), lambda body: F.concat(t.title, match_case(let(normalize_key(body), drawn), body)))
+    return _first_unlike(draw, pads, "person", key, attempts, lambda x: F.lower(x) == key)
 
-    return let(split_title(text), made)
 
+def person_pseudonym(secret_hex: Column, text: Column, first: list[str] = FIRST_NAMES, last: list[str] = SURNAMES, attempts: int = 7) -> Column:
+    """A name with as many words, title kept, case style kept; another one is drawn while it equals the source."""
+    t = split_title(text)
+    body = strip(t.body)
+    return F.concat(t.title, match_case(let(key_pads(secret_hex), lambda pads: let(normalize_key(body), lambda key: person_of(pads, key, first, last, attempts))), body))
 
-def institution_pseudonym(secret_hex: Column, text: Column, real: list[str] = (), last: list[str] = SURNAMES, attempts: int = 24) -> Column:
-    """An institution's name in the language of the source, unlike the source and the real names given; case style kept."""
+
+def institution_of(pads: Column, key: Column, text: Column, real: list[str] = (), last: list[str] = SURNAMES, attempts: int = 24) -> Column:
+    """An institution's name in the language of the text, unlike its normalised key and the real names given."""
     real_keys = [r.casefold() for r in real]
+    by_language = lambda values, h, part: F.when(french, _pick(values["fr"], h, part)).otherwise(_pick(values["nl"], h, part))
+    french = institution_language(text) == "fr"
+
+    def draw(h):
+        return F.concat_ws(" ", by_language(KINDS, h, 0), F.when(_number(h, 3, 1) == 0, _pick(last, h, 2)).otherwise(by_language(PLACES, h, 3)))
 
-    def drawn(language: str, key: Column) -> Column:
-        def draw(at: Column) -> Column:
-            kind, place, owner = (_pick(v, secret_hex, F.lit(w), key, at) for v, w in ((KINDS[language], "kind"), (PLACES[language], "place"), (last, "owner")))
-            return F.concat_ws(" ", kind, F.when(choice(secret_hex, 3, F.lit("named after"), key, at) == 0, owner).otherwise(place))
+    bad = lambda x: (F.lower(x) == key) | F.lower(x).isin(real_keys) if real_keys else F.lower(x) == key
+    return F.coalesce(_first_unlike(draw, pads, "institution", key, attempts, bad), F.when(french, NO_OTHER["fr"]).otherwise(NO_OTHER["nl"]))
 
-        ok = F.filter(F.transform(F.array(*[F.lit(str(a)) for a in range(attempts)]), draw), lambda x: (F.lower(x) != key) & ~F.lower(x).isin(real_keys) if real_keys else F.lower(x) != key)
-        return F.coalesce(F.get(ok, F.lit(0)), F.lit(NO_OTHER[language]))
 
-    name = let(normalize_key(text), lambda key: F.when(institution_language(text) == "fr", drawn("fr", key)).otherwise(drawn("nl", key)))
+def institution_pseudonym(secret_hex: Column, text: Column, real: list[str] = (), last: list[str] = SURNAMES, attempts: int = 24) -> Column:
+    """An institution's name in the language of the source, unlike the source and the real names given; case style kept."""
+    name = let(key_pads(secret_hex), lambda pads: let(normalize_key(text), lambda key: institution_of(pads, key, text, real, last, attempts)))
     return match_case(name, text)
 
 

@@ -131,11 +131,12 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), "")
 
 
-def match_case(replacement: Column, original: Column) -> Column:
-    """replacement in the case style of original: upper, lower or title case; else as it is."""
+def styled(r: Column, o: Column) -> Column:
+    """r in the case style of o, which is trimmed: upper, lower or title case; else as it is."""
+    cased = o.rlike(r"[\p{Lu}\p{Ll}]")
+    return F.when(~cased, r).when(F.upper(o) == o, F.upper(r)).when(F.lower(o) == o, F.lower(r)).when(title_case(o) == o, title_case(r)).otherwise(r)
 
-    def styled(r, o):
-        cased = o.rlike(r"[\p{Lu}\p{Ll}]")
-        return F.when(~cased, r).when(F.upper(o) == o, F.upper(r)).when(F.lower(o) == o, F.lower(r)).when(title_case(o) == o, title_case(r)).otherwise(r)
 
+def match_case(replacement: Column, original: Column) -> Column:
+    """replacement in the case style of original."""
     return let(replacement, lambda r: let(strip(original), lambda o: styled(r, o)))

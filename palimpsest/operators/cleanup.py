@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import SMART_BIRTH_MONTHS, birthdate_variants, shift_literal
-from palimpsest.functions.keyed import person_pseudonym
-from palimpsest.functions.names import ADDRESS_SEPARATORS, PERSON_SEPARATORS, address_sequences, address_variants, java_tokens, literal_pattern, person_sequences, person_variants
-from palimpsest.functions.text import PLACEHOLDER, let, match_case, next_index
+from palimpsest.functions.keyed import key_pads, person_of
+from palimpsest.functions.names import split_title, ADDRESS_SEPARATORS, PERSON_SEPARATORS, address_sequences, address_variants, java_tokens, literal_pattern, person_sequences, person_variants
+from palimpsest.functions.text import PLACEHOLDER, let, next_index, normalize_key, strip, styled
 from palimpsest.operators.spans import REFERENCES, merge_references
 
 WARNING = "Guaranteed cleanup replaced configured literals that remained after recognition."
@@ -70,7 +70,7 @@ def literals_pattern(variants: Column, separators: str = r"[\s,.'’`-]+", name_
     full = F.filter(words, lambda w: F.size(w) > 0)
     ranked = F.array_sort(F.array_distinct(F.transform(full, lambda w: F.struct((-F.length(F.array_join(w, " "))).alias("n"), F.array_join(F.transform(w, _escape), separators).alias("p")))))
     body = F.array_join(F.transform(ranked, lambda x: x.p), "|")
-    return F.when(body != "", F.concat(F.lit(rf"(?iU)(?:{PLACEHOLDER})|(?<!{edge})(?:"), body, F.lit(rf")(?!{edge})")))
+    return F.when(body != "", F.concat(F.lit(rf"(?iU)(?-i:{PLACEHOLDER})|(?<!{edge})(?:"), body, F.lit(rf")(?!{edge})")))
 
 
 def replace_literals(state: Column, pattern: Column, replacement) -> Column:
@@ -124,11 +124,16 @@ def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], n
         return F.aggregate(values, s.cast(kind), lambda acc, p: replace_literals(acc, p, placeholder(acc, tag)).cast(kind))
 
     def named(s, values):
-        return F.aggregate(values, s.cast(kind), lambda acc, p: replace_literals(acc, p["pattern"], lambda m: match_case(p["pseudonym"], m)).cast(kind))
+        return F.aggregate(values, s.cast(kind), lambda acc, p: replace_literals(acc, p["pattern"], lambda m: styled(p["pseudonym"], m)).cast(kind))
 
-    def sources(values, variants):
-        """Patterns of configured names with their pseudonyms."""
-        return F.transform(values, lambda v: F.struct(literals_pattern(variants(v), person_sep, name_like).alias("pattern"), person_pseudonym(secret_hex, v).alias("pseudonym")))
+    def with_sources(df, column, values, variants):
+        """column: patterns of configured names with their pseudonyms, made in steps."""
+        c = F.col(column)
+        df = df.withColumn("_pads", key_pads(secret_hex)).withColumn(column, F.transform(values, lambda v: F.struct(v.alias("v"), split_title(v).alias("t"))))
+        df = df.withColumn(column, F.transform(c, lambda x: F.struct(x.v.alias("v"), x.t.title.alias("title"), strip(x.t.body).alias("body"), normalize_key(x.t.body).alias("key"))))
+        df = df.withColumn(column, F.transform(c, lambda x: F.struct(x.v.alias("v"), x.title.alias("title"), x.body.alias("body"), person_of(F.col("_pads"), x.key).alias("name"))))
+        pseudonym = lambda x: F.concat(x.title, styled(x["name"], x.body))
+        return df.withColumn(column, F.transform(c, lambda x: F.struct(literals_pattern(variants(x.v), person_sep, name_like).alias("pattern"), pseudonym(x).alias("pseudonym")))).drop("_pads")
 
     smart = secret_hex is not None
     c = F.col("_clean")
@@ -138,7 +143,7 @@ def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], n
         if smart:
             full = F.concat_ws(" ", F.when(F.trim(first) != "", first), F.when(F.trim(last) != "", last))
             parts = F.filter(F.array(full, first, last), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
-            df = df.withColumn("_p", sources(F.array_distinct(parts), person_variants))
+            df = with_sources(df, "_p", F.array_distinct(parts), person_variants)
             df = df.withColumn("_clean", named(c, F.col("_p"))).drop("_p")
         else:
             df = df.withColumn("_p", literals_pattern(patient_variants(first, last), person_sep, name_like))
@@ -147,12 +152,12 @@ def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], n
         # separators of dates are kept apart: 1-2-1990 isn't 12-1990
         spellings = birthdate_variants(settings["birthdate"], SMART_BIRTH_MONTHS) if smart else birthdate_variants(settings["birthdate"])
         ranked = F.array_sort(F.transform(spellings, lambda v: F.struct((-F.length(v)).alias("n"), _escape(v).alias("v"))))
-        rx = F.concat(F.lit(rf"(?iU)(?:{PLACEHOLDER})|(?<!\w)(?:"), F.array_join(F.transform(ranked, lambda x: x.v), "|"), F.lit(r")(?!\w)"))
+        rx = F.concat(F.lit(rf"(?iU)(?-i:{PLACEHOLDER})|(?<!\w)(?:"), F.array_join(F.transform(ranked, lambda x: x.v), "|"), F.lit(r")(?!\w)"))
         df = df.withColumn("_p", F.when(settings["birthdate"].isNotNull(), rx))
         new = (lambda m: F.coalesce(shift_literal(m, shift), placeholder(c, "DATE"))) if smart else placeholder(c, "DATE")
         df = df.withColumn("_clean", replace_literals(c, F.col("_p"), new)).drop("_p")
     if smart and "other_names" in settings:
-        df = df.withColumn("_p", sources(filled("other_names"), person_variants))
+        df = with_sources(df, "_p", filled("other_names"), person_variants)
         df = df.withColumn("_clean", named(c, F.col("_p"))).drop("_p")
     for key, tag, variants, sep in (("other_names", "PERSON", person_variants, person_sep), ("custom_addresses", "LOCATION", address_variants, address_sep)):
         if key in settings and not (smart and key == "other_names"):

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.dates import shift_literal
-from palimpsest.functions.keyed import automatic_shift, institution_pseudonym, person_pseudonym
-from palimpsest.functions.text import affixes, html_escape, is_placeholder, normalize_whitespace
+from palimpsest.functions.dates import date_pieces, parsed_pieces, render_like
+from palimpsest.functions.keyed import automatic_shift, institution_of, key_pads, person_of
+from palimpsest.functions.names import split_title
+from palimpsest.functions.text import affixes, html_escape, is_placeholder, normalize_key, normalize_whitespace, strip, styled
 from palimpsest.operators.cleanup import Settings, cleanup
 from palimpsest.operators.html import html_pieces
 from palimpsest.operators.recognise import recognise
@@ -27,19 +28,25 @@ PAGE_BREAK = ""
 BLANK = r"(?U)\A\s*\z"
 
 
-def with_pseudonyms(replaced: Column, secret_hex: Column, shift: Column) -> Column:
+def with_pseudonyms(df: DataFrame, column: str, secret_hex: Column, shift: Column) -> DataFrame:
     """Numbered spans whose persons and institutions get keyed pseudonyms and whose dates are shifted by days.
 
-    A date literal that can't be read keeps its placeholder.
+    A date literal that can't be read keeps its placeholder. Each step is a projection of its own: what a step needs is a field of the
+    spans by then, so no lambda is nested in another one.
     """
-    def one(s):
-        tag = canonical_tag(s.tag)
-        new = (
-            F.when(tag.isin(PERSON_TAGS), person_pseudonym(secret_hex, s.text)).when(tag.isin(INSTITUTION_TAGS), institution_pseudonym(secret_hex, s.text)).when(tag.isin(DATE_TAGS), F.coalesce(shift_literal(s.text, shift), s.replacement)).otherwise(s.replacement)
-        )
-        return F.struct(s.text, s.tag, s.start, s.end, new.alias("replacement"))
-
-    return F.transform(replaced, one)
+    c = F.col(column)
+    df = df.withColumn("_pads", key_pads(secret_hex)).withColumn("_shift", shift)
+    pads = F.col("_pads")
+    df = df.withColumn(column, F.transform(c, lambda s: F.struct(s.text, s.tag, s.start, s.end, s.replacement, canonical_tag(s.tag).alias("kind"), split_title(s.text).alias("title"), date_pieces(s.text).alias("pieces"))))
+    of = lambda s, tags: s.kind.isin(tags)
+    fields = ["text", "tag", "start", "end", "replacement", "kind"]
+    keep = lambda s: [s[f].alias(f) for f in fields]
+    df = df.withColumn(column, F.transform(c, lambda s: F.struct(*keep(s), s.title.title.alias("title"), F.when(of(s, PERSON_TAGS), strip(s.title.body)).otherwise(strip(s.text)).alias("body"), F.when(of(s, DATE_TAGS), parsed_pieces(s.pieces)).alias("style"))))
+    df = df.withColumn(column, F.transform(c, lambda s: F.struct(*keep(s), s.title.alias("title"), s.body.alias("body"), normalize_key(s.body).alias("key"), s.style.alias("style"), F.date_add(s.style.date, F.col("_shift")).alias("day"))))
+    df = df.withColumn(column, F.transform(c, lambda s: F.struct(*keep(s), s.title.alias("title"), s.body.alias("body"), F.when(of(s, PERSON_TAGS), person_of(pads, s.key)).when(of(s, INSTITUTION_TAGS), institution_of(pads, s.key, s.body)).alias("name"), F.when(s.style.isNotNull(), render_like(s.day, s.style)).alias("date"))))
+    new = lambda s: F.when(of(s, PERSON_TAGS), F.concat(s.title, styled(s["name"], s.body))).when(of(s, INSTITUTION_TAGS), styled(s["name"], s.body)).when(of(s, DATE_TAGS), s.date)
+    df = df.withColumn(column, F.transform(c, lambda s: F.struct(s.text, s.tag, s.start, s.end, F.coalesce(new(s), s.replacement).alias("replacement"))))
+    return df.drop("_pads", "_shift")
 
 
 def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, normalize: bool = True, secret_hex: Column | None = None, name_like: bool = False, given: list[str] = ()) -> DataFrame:
@@ -62,7 +69,7 @@ def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[s
     if secret_hex is not None:
         subject = F.lower(F.concat_ws(" ", settings.get("first_name", F.lit("")), settings.get("last_name", F.lit(""))))
         df = df.withColumn("_d", F.coalesce(settings.get("date_shift_days", F.lit(None).cast("int")), automatic_shift(secret_hex, subject)))
-        df = df.withColumn("_s", with_pseudonyms(F.col("_s"), secret_hex, F.col("_d")))
+        df = with_pseudonyms(df, "_s", secret_hex, F.col("_d"))
     df = df.withColumn("_r", F.struct(render(F.col("_t"), F.col("_s")).alias("text"), references_of(F.col("_s")).alias("references")))
     df = cleanup(df, "_r", "_o", settings, name_like, secret_hex, None if secret_hex is None else F.col("_d")).drop("_d")
     blank = F.struct(src.alias("text"), F.array().cast(REFERENCES).alias("references"), F.array().cast("array<string>").alias("warnings"))
@@ -76,13 +83,22 @@ def deidentify_pages(df: DataFrame, pages: str, out: str, settings: Settings | d
 
     If the number of pages differs afterwards, pages are dropped and the text keeps the whole.
     """
-    joined = F.array_join(F.transform(F.col(pages), lambda p: normalize_whitespace(F.coalesce(p, F.lit("")))), f"\n\n{PAGE_BREAK}\n\n")
-    df = deidentify(df.withColumn("_joined", F.when(F.size(pages) > 0, joined)), "_joined", "_j", settings, flags, normalize=False, secret_hex=secret_hex, given=given)
-    df = df.withColumn("_parts", F.transform(F.split(F.col("_j.text"), rf"\s*{PAGE_BREAK}\s*", -1), lambda p: F.trim(p)))
+    df = deidentify(df.withColumn("_joined", F.when(F.size(pages) > 0, joined_pages(F.col(pages)))), "_joined", "_j", settings, flags, normalize=False, secret_hex=secret_hex, given=given)
+    return cut_pages(df, "_j", F.size(pages), out).drop("_joined", "_j")
+
+
+def joined_pages(pages: Column) -> Column:
+    return F.array_join(F.transform(pages, lambda p: normalize_whitespace(F.coalesce(p, F.lit("")))), f"\n\n{PAGE_BREAK}\n\n")
+
+
+def cut_pages(df: DataFrame, done: str, n: Column, out: str) -> DataFrame:
+    """Adds out, struct<text, pages, references, warnings>, from the result of joined pages; n: their number."""
+    r = F.col(done)
+    df = df.withColumn("_parts", F.transform(F.split(r.text, rf"\s*{PAGE_BREAK}\s*", -1), lambda p: F.trim(p)))
     full = F.array_join(F.filter(F.col("_parts"), lambda p: p != ""), "\n\n")
-    kept = F.when(F.size("_parts") == F.size(pages), F.col("_parts")).otherwise(F.array().cast("array<string>"))
-    whole = F.struct(full.alias("text"), kept.alias("pages"), F.col("_j.references").alias("references"), F.col("_j.warnings").alias("warnings"))
-    return df.withColumn(out, F.when(F.col("_j").isNotNull(), whole)).drop("_joined", "_j", "_parts")
+    kept = F.when(F.size("_parts") == n, F.col("_parts")).otherwise(F.array().cast("array<string>"))
+    whole = F.struct(full.alias("text"), kept.alias("pages"), r.references.alias("references"), r.warnings.alias("warnings"))
+    return df.withColumn(out, F.when(r.isNotNull(), whole)).drop("_parts")
 
 
 def deidentify_html(df: DataFrame, page: str, out: str, key: list[str], settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, secret_hex: Column | None = None, given: list[str] = (), carried: list[str] = ()) -> DataFrame:
@@ -94,6 +110,11 @@ def deidentify_html(df: DataFrame, page: str, out: str, key: list[str], settings
     """
     cut = df.select(*key, *carried, F.posexplode(html_pieces(F.col(page))).alias("_pos", "_piece")).select(*key, *carried, "_pos", F.col("_piece.kind").alias("_kind"), F.col("_piece.text").alias("_text"))
     cut = deidentify(cut.withColumn("_own", F.when(F.col("_kind").isin("text", "attribute"), F.col("_text"))), "_own", "_x", settings, flags, normalize=False, secret_hex=secret_hex, given=given)
+    return gathered(cut, key, out)
+
+
+def gathered(cut: DataFrame, key: list[str], out: str) -> DataFrame:
+    """(*key, out) of the pieces of pages (_pos, _kind, _text and the result _x)."""
     shown = F.when(F.col("_kind") == "markup", F.col("_text")).when(F.col("_kind") == "text", html_escape(F.col("_x.text"))).otherwise(html_escape(F.col("_x.text"), True))
     failed = F.when(F.col("_kind") == "error", F.col("_text"))
     piece = F.struct("_pos", shown.alias("text"), F.coalesce(F.col("_x.references"), F.array().cast(REFERENCES)).alias("references"), F.coalesce(F.col("_x.warnings"), F.array().cast("array<string>")).alias("warnings"))
@@ -115,8 +136,8 @@ def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_h
     """(document_id, output_text, pdf_page_texts, placeholder_references, warnings, status, error_message) of each distinct imported id.
 
     Of a redelivered id the row that arrived last counts. A document without text, or that can't be parsed, is a row with status
-    "error" and a message; others are "ready", and none stops another. Each kind has its own branch, so only HTML reaches the parser
-    and only paged documents are joined. With dossiers (settings_id and PER_DOSSIER, one row each) a document is processed with the
+    "error" and a message; others are "ready", and none stops another. All kinds are pieces of one frame, so the rules are planned once; only
+    HTML reaches the parser and is gathered again. With dossiers (settings_id and PER_DOSSIER, one row each) a document is processed with the
     settings of its own dossier, or with none.
     """
     dated = ["arrived_at"] if "arrived_at" in docs.columns else []
@@ -133,13 +154,19 @@ def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_h
     paged = ~blank & F.coalesce((F.col("source_kind") == "pdf") & (F.size("pages") > 0), F.lit(False))
     is_html = ~blank & F.coalesce(F.col("source_kind") == "html", F.lit(False))
     none = F.array().cast("array<string>")
-    how = {"settings": settings, "secret_hex": secret_hex, "given": given}
-    whole = F.struct(F.col("r.text"), none.alias("pages"), F.col("r.references"), F.col("r.warnings"))
+    number = F.lit(0).alias("_pos")
+    piece = lambda kind, text: [number, F.lit(kind).alias("_kind"), text.alias("_text")]
+    n_pages = F.size("pages").alias("_n")
+    texts = rows.filter(~blank & ~paged & ~is_html).select("document_id", *carried, n_pages, *piece("whole", normalize_whitespace(F.col("raw_text"))))
+    pdf = rows.filter(paged).select("document_id", *carried, n_pages, *piece("pages", joined_pages(F.col("pages"))))
+    page = rows.filter(is_html).select("document_id", *carried, n_pages, F.posexplode(html_pieces(F.col("raw_text"))).alias("_pos", "_p")).select("document_id", *carried, "_n", "_pos", F.col("_p.kind").alias("_kind"), F.col("_p.text").alias("_text"))
+    cut = texts.unionByName(pdf).unionByName(page).withColumn("_own", F.when(~F.col("_kind").isin("markup", "error"), F.col("_text")))
+    cut = deidentify(cut, "_own", "_x", settings, normalize=False, secret_hex=secret_hex, given=given)
+    whole = lambda r: F.struct(F.col(f"{r}.text"), none.alias("pages"), F.col(f"{r}.references"), F.col(f"{r}.warnings")).alias("r")
     said = F.lit(None).cast("string").alias("message")
-    text = deidentify(rows.filter(~blank & ~paged & ~is_html), "raw_text", "r", **how).select("document_id", whole.alias("r"), said)
-    pdf = deidentify_pages(rows.filter(paged), "pages", "r", **how).select("document_id", "r", said)
-    page = deidentify_html(rows.filter(is_html), "raw_text", "r", ["document_id"], carried=carried, **how)
-    page = page.select("document_id", F.when(F.col("r.error").isNull(), whole).alias("r"), F.col("r.error").alias("message"))
+    text = cut.filter("_kind = 'whole'").select("document_id", whole("_x"), said)
+    pdf = cut_pages(cut.filter("_kind = 'pages'"), "_x", F.col("_n"), "r").select("document_id", "r", said)
+    page = gathered(cut.filter("_kind not in ('whole', 'pages')"), ["document_id"], "g").select("document_id", F.when(F.col("g.error").isNull(), whole("g")).alias("r"), F.col("g.error").alias("message"))
     failed = rows.filter(blank).select("document_id", F.lit(None).cast(text.schema["r"].dataType).alias("r"), F.lit("The document has no text.").alias("message"))
     return text.unionByName(pdf).unionByName(page).unionByName(failed).select(
         "document_id", F.col("r.text").alias("output_text"), F.col("r.pages").alias("pdf_page_texts"), F.col("r.references").alias("placeholder_references"), F.coalesce("r.warnings", none).alias("warnings"),

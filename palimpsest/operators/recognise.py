@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import let
 from palimpsest.operators.spans import drop_articles, merge_adjacent, regex_spans, without_overlaps
 
 #: Groups in the order of the flags.
@@ -59,21 +58,19 @@ def general_names(text: Column, given: list[str]) -> Column:
 
     A run that ends with its only given name begins one word earlier, as family names may come first.
     """
-    known = F.array(*[F.lit(g.lower()) for g in sorted({g.lower() for g in given})])
+    known = F.split(F.lit("|".join(sorted({g.lower() for g in given if g and "|" not in g}))), r"\|")
     word = r"(?U)[\p{L}'’-]+"
 
     def cut(s):
         words = F.regexp_extract_all(s.text, F.lit(word), F.lit(0))
         hits = F.transform(words, lambda w: F.array_contains(known, F.lower(w)))
 
-        def placed(at):
-            first = F.when((at == F.size(words)) & (at > 1), at - 1).otherwise(at)
-            gaps = F.split(s.text, word, -1)
-            lead = F.aggregate(F.slice(F.arrays_zip(gaps.alias("g"), words.alias("w")), 1, F.greatest(first - 1, F.lit(0))), F.lit(0), lambda n, x: n + F.length(F.coalesce(x.g, F.lit(""))) + F.length(F.coalesce(x.w, F.lit(""))))
-            begin = lead + F.length(F.coalesce(F.get(gaps, first - 1), F.lit("")))
-            return F.struct(F.substring(s.text, begin + 1, F.length(s.text)).alias("text"), s.tag.alias("tag"), (s.start + begin).cast("int").alias("start"), s.end.alias("end"))
-
-        return let(F.array_position(hits, True).cast("int"), lambda at: F.when(at > 0, placed(at)))
+        at = F.array_position(hits, True).cast("int")
+        first = F.when((at == F.size(words)) & (at > 1), at - 1).otherwise(at)
+        # the letters and gaps before the first word that counts
+        lead = F.length(F.regexp_substr(s.text, F.concat(F.lit(rf"(?U)\A(?:[^\p{{L}}'’-]*{word[4:]}){{"), (first - 1).cast("string"), F.lit(r"}[^\p{L}'’-]*"))))
+        cut_off = F.struct(F.substring(s.text, lead + 1, F.length(s.text)).alias("text"), s.tag.alias("tag"), (s.start + lead).cast("int").alias("start"), s.end.alias("end"))
+        return F.when(at > 0, cut_off)
 
     return F.filter(F.transform(regex_spans(text, NAME_RUN, "persoon"), cut), lambda s: s.isNotNull())
 

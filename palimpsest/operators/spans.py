@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import let, within_one_edit
+from palimpsest.functions.text import within_one_edit
 
 SPAN = "struct<text:string,tag:string,start:int,end:int>"
 #: Canonical tags and the placeholders' names; other tags are upper-cased.
@@ -45,15 +45,11 @@ def regex_spans(text: Column, pattern: str, tag: str, group: int = 0) -> Column:
         span = F.struct(x.part.alias("text"), F.lit(tag).alias("tag"), begin.cast("int").alias("start"), (begin + F.length(x.part)).cast("int").alias("end"))
         return F.struct((start + F.length(x.whole)).alias("at"), F.array_append(acc.out, span).alias("out"))
 
-    def placed(whole):
-        gaps = F.split(text, pattern, -1)
-        inner = whole if not group else F.regexp_extract_all(text, rx, F.lit(group))
-        zipped = F.transform(whole, lambda w, i: F.struct(F.get(gaps, i).alias("gap"), w.alias("whole"), F.get(inner, i).alias("part")))
-        return F.aggregate(zipped, zero, step, lambda a: F.filter(a.out, lambda s: F.length(s.text) > 0))
-
-    # a text is split only when something was found in it
-    found = let(F.regexp_extract_all(text, rx, F.lit(0)), lambda w: F.when(F.size(w) > 0, placed(w)).otherwise(F.array().cast(f"array<{SPAN}>")))
-    return F.when(text.isNotNull(), found)
+    whole = F.regexp_extract_all(text, rx, F.lit(0))
+    inner = whole if not group else F.regexp_extract_all(text, rx, F.lit(group))
+    gaps = F.split(text, pattern, -1)
+    zipped = F.transform(whole, lambda w, i: F.struct(F.get(gaps, i).alias("gap"), w.alias("whole"), F.get(inner, i).alias("part")))
+    return F.when(text.isNotNull(), F.aggregate(zipped, zero, step, lambda a: F.filter(a.out, lambda s: F.length(s.text) > 0)))
 
 
 def sort_spans(spans: Column) -> Column:
@@ -74,7 +70,7 @@ def without_overlaps(ranked: Column) -> Column:
 
 
 #: Tags whose neighbouring spans are one item when only this stands between them.
-MERGED, SLACK = ["PERSON", "LOCATION"], r"\A[.\s,-]?[.\s]?\z"
+MERGED, SLACK = [["person", "persoon"], ["location", "locatie"]], r"\A[.\s,-]?[.\s]?\z"
 
 
 def merge_adjacent(text: Column, spans: Column) -> Column:
@@ -85,7 +81,8 @@ def merge_adjacent(text: Column, spans: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         gap = F.substring(text, last.end + 1, s.start - last.end)
         whole = F.struct(F.substring(text, last.start + 1, s.end - last.start).alias("text"), last.tag.alias("tag"), last.start.alias("start"), s.end.alias("end"))
-        same = placeholder_name(last.tag).isin(MERGED) & (placeholder_name(last.tag) == placeholder_name(s.tag)) & gap.rlike(SLACK)
+        a, b = F.lower(last.tag), F.lower(s.tag)
+        same = ((a.isin(MERGED[0]) & b.isin(MERGED[0])) | (a.isin(MERGED[1]) & b.isin(MERGED[1]))) & gap.rlike(SLACK)
         return F.when(same, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), whole)).otherwise(F.array_append(acc, F.struct(s.text.alias("text"), s.tag.alias("tag"), s.start.alias("start"), s.end.alias("end"))))
 
     return F.aggregate(spans, empty, step)

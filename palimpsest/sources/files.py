@@ -95,10 +95,10 @@ def pasted(texts: DataFrame, text: str = "text") -> DataFrame:
     return t.select(F.sha2("raw_text", 256).alias("id"), F.lit("paste").alias("source_kind"), F.lit("Pasted text").alias("display_name"), F.lit(None).cast("string").alias("path"), "raw_text", no_pages.alias("pdf_pages"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_message"))
 
 
-def load_settings(raw: DataFrame) -> DataFrame:
-    """Settings as saved (all strings) with their types: dates, shifts in range, lists by line, unknown modes as placeholders."""
+def load_settings(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Settings as saved (all strings) with their types: dates, shifts in range, lists by line, unknown modes as placeholders; keep: columns passed on."""
     return raw.select(
-        strip(F.col("first_name")).alias("first_name"), strip(F.col("last_name")).alias("last_name"), parse_birthdate(F.col("birthdate")).alias("birthdate"), safe_shift(F.expr("try_cast(date_shift_days as int)")).alias("date_shift_days"),
+        *keep, strip(F.col("first_name")).alias("first_name"), strip(F.col("last_name")).alias("last_name"), parse_birthdate(F.col("birthdate")).alias("birthdate"), safe_shift(F.expr("try_cast(date_shift_days as int)")).alias("date_shift_days"),
         list_lines(F.col("other_names")).alias("other_names"), list_lines(F.col("custom_addresses")).alias("custom_addresses"), F.coalesce(F.expr("try_cast(deidentify_filenames as boolean)"), F.lit(True)).alias("deidentify_filenames"),
         F.when(F.col("mode").isin("placeholders", "smart_pseudonyms"), F.col("mode")).otherwise("placeholders").alias("mode"),
     )
