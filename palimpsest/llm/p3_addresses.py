@@ -8,7 +8,7 @@ Streets of one place that agree in all words but one vote for a rewrite of that
 the shorter one becomes the longer one. Votes are counted over distinct places and streets, and a rewrite is kept
 when its pair is significant (likelihood ratio against the words' own frequencies) and most of the
 words it would touch have been seen with it. Streets are written anew by the kept rewrites and
-matched again, until no new rewrite appears. What then still differs by typing errors is linked by
+matched again, until no new rewrite appears; rewrites stay a table and are applied by joins of words. What then still differs by typing errors is linked by
 near_pairs inside a place, as are equal streets.
 
 Addresses without a number or without a known locality link to those with the same letters and digits only; null
@@ -18,26 +18,26 @@ their place only, so no pairs are formed within a group.
 
 from __future__ import annotations
 
-import math
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType
 
 from palimpsest.llm.graph import components
 from palimpsest.llm.p5_names import fold, near_word
 from palimpsest.llm.segments import near_pairs
-from palimpsest.plans.session import materialize, table
+from palimpsest.plans.session import by_key, materialize, table
 
 #: A country's list of localities is sent to the tasks; a longer list is refused.
 MOST_LOCALITIES = 100_000
-#: Votes a rewrite needs, and one in so many of all votes at least, so there are at most that many rewrites.
-VOTES, ONE_IN = 3, 2000
+#: Votes a rewrite needs.
+VOTES = 3
 #: Chi-square of one degree of freedom at p = 0.001; the share of touched words seen with the rewrite.
 SIGNIFICANT, SURE = 10.83, 0.3
-ROUNDS = 8
+#: Edits between streets of one place, by the shorter one's length.
+EDITS = [(1, 1), (8, 2), (12, 3)]
 COUNTRY = re.compile(r"\b(?:belgie|belgique|belgium|belgien)\b")
 SAINT = {"st": "sint", "ste": "sainte"}
 
@@ -220,48 +220,46 @@ def _touching(batches):
         yield pd.DataFrame(rows, columns=["a", "word"])
 
 
-def rewriter(rules: dict[str, str]):
-    """Column function that applies rewrites of words and endings, the longest first."""
-
-    def one(street: str) -> str:
-        out = []
-        for w in street.split(" "):
-            if w in rules:
-                w = rules[w]
-            else:
-                for i in range(2, len(w)):
-                    if (new := rules.get("~" + w[i:])) is not None and not w.endswith(new[1:]):
-                        w = w[:i] + new[1:]
-                        break
-            out.append(w)
-        return " ".join(out)
-
-    @F.pandas_udf(StringType())
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action="ignore")
-
-    return apply
-
-
-def kind_of(kinds: set[str]):
-    """Column function of a street's first word when it is, or is one edit from, one of the kinds; "" else."""
-
-    def one(street: str) -> str:
-        first, _, rest = street.partition(" ")
-        if not rest:
-            return ""
-        return first if first in kinds else min((k for k in kinds if len(k) > 3 and near_word(first, k)), default="")
-
-    @F.pandas_udf(StringType())
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action="ignore")
-
-    return apply
-
-
-def mine(streets: DataFrame, known: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
-    """New significant rewrites from distinct (place, street), at most ONE_IN of them: those that hold for
-    most words they touch, and those that hold only where the place has the rewritten street too."""
+def _cut(batches):
+    """Every word with its places of endings: place 0 is the word itself."""
+    for b in batches:
+        rows = [(w, i, w if i == 0 else "~" + w[i:]) for w in b["word"] for i in (0, *range(2, len(w)))]
+        yield pd.DataFrame(rows, columns=["word", "place", "a"])
+
+
+def rewritten(forms: DataFrame, column: str, rules: DataFrame) -> DataFrame:
+    """forms with the words of a column rewritten by rules (a, b): a whole word by its rule, else its longest ending that has one."""
+    words = forms.select(F.explode(F.split(column, " ")).alias("word")).filter("word != ''").distinct()
+    hits = by_key(words, "word").mapInPandas(_cut, "word string, place int, a string").join(rules, "a")
+    ending = F.expr("substring(b, 2, length(b))")
+    hits = hits.withColumn("new", F.when(F.col("place") == 0, F.col("b")).when(~F.endswith("word", ending), F.concat(F.expr("substring(word, 1, place)"), ending))).filter("new is not null")
+    new = hits.groupBy("word").agg(F.min_by("new", "place").alias("new"))
+    one = forms.select(F.col(column).alias("_s")).distinct().select("_s", F.posexplode(F.split("_s", " ")).alias("_i", "word"))
+    done = one.join(new, "word", "left").groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("new", "word").alias("w")))).alias("ws"))
+    done = done.select("_s", F.array_join(F.transform("ws", lambda x: x.w), " ").alias("_new"))
+    return forms.join(done, F.col(column) == F.col("_s"), "left").withColumn(column, F.coalesce("_new", column)).drop("_s", "_new")
+
+
+@F.pandas_udf(BooleanType())
+def _one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([near_word(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def with_kind(forms: DataFrame, kinds: DataFrame) -> DataFrame:
+    """forms with kind: a street's first word when it is, or is one slip from, one of the kinds (word); "" else."""
+    first = forms.select(F.regexp_extract("form", r"^(\S+) ", 1).alias("word")).filter("word != ''").distinct()
+    same = first.join(kinds, "word", "left_semi").select("word", F.col("word").alias("kind"))
+    both = first.withColumn("k", F.lit(False)).unionByName(kinds.select("word").distinct().withColumn("k", F.lit(True)))
+    pairs = near_pairs(both.select(F.lit(0).alias("all"), F.col("word").alias("s")).distinct(), ["all"], limits=[(1, 1), (3, 2)])
+    pairs = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("length(b) > 3").filter(_one_slip("a", "b"))
+    near = pairs.join(kinds.select(F.col("word").alias("b")).distinct(), "b").groupBy(F.col("a").alias("word")).agg(F.min("b").alias("kind")).join(first, "word", "left_semi")
+    named = same.unionByName(near.join(same.select("word"), "word", "left_anti")).withColumnRenamed("word", "_first")
+    return forms.withColumn("_word", F.regexp_extract("form", r"^(\S+) ", 1)).join(named, F.col("_word") == F.col("_first"), "left").withColumn("kind", F.coalesce("kind", F.lit(""))).drop("_word", "_first")
+
+
+def mine(streets: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, sure): new significant rewrites from distinct (place, street): sure ones hold for most words they touch, the others only
+    where the place has the rewritten street too. known: (a), rewrites of earlier rounds."""
     words = streets.select("place", "street", F.posexplode(F.split("street", " ")).alias("i", "word"), F.split("street", " ").alias("w"))
     slots = words.select("place", "word", F.expr("array_join(transform(w, (x, j) -> if(j = i, '*', x)), ' ')").alias("mask")).filter("length(word) > 0")
     # alternatives of a slot that begin alike; single words need four letters in common, as nothing else ties them
@@ -274,52 +272,47 @@ def mine(streets: DataFrame, known: dict[str, str]) -> tuple[dict[str, str], dic
     votes = led.select("place", "mask", "word", F.explode(F.array_distinct(F.array("lead", "longest"))).alias("lead")).filter("word != lead")
     cast = votes.mapInPandas(_candidates, "a string, b string, place string, mask string, word string")
     pairs = materialize(cast.groupBy("a", "b").agg(F.countDistinct("place", "mask").alias("n"), F.countDistinct("word").alias("words")))
-    total = pairs.agg(F.sum("n")).first()[0] or 0
+    total = max(pairs.agg(F.sum("n")).first()[0] or 0, 1)
     ends = pairs.groupBy("b").agg(F.sum("n").alias("nb"))
     starts = pairs.groupBy("a").agg(F.sum("n").alias("na"))
     touched = words.select("word").distinct().mapInPandas(_touching, "a string, word string").join(pairs.select("a").distinct(), "a").groupBy("a").agg(F.count("*").alias("touched"))
-    strong = pairs.filter(F.col("n") >= max(VOTES, total // ONE_IN)).join(ends, "b").join(starts, "a").join(touched, "a", "left").fillna(1, ["touched"])
-    kept: dict[str, tuple] = {}
-    weak: dict[str, tuple] = {}
-    for r in strong.collect():  # fewer than ONE_IN rows
-        share = r.words / max(r.touched, 1)
-        expected = max(r.na * r.nb / max(total, 1), 1e-9)
-        if not r.a.startswith("~"):
-            share = max(share, 1.0 if r.n >= VOTES else 0.0)
-        if 2 * r.n * math.log(max(r.n / expected, 1e-9)) > SIGNIFICANT and r.a not in known:
-            to = kept if share >= SURE else weak
-            to[r.a] = max(to.get(r.a, (0,)), (r.n, len(r.b), r.b))
-    return {a: x[2] for a, x in kept.items()}, {a: x[2] for a, x in weak.items() if a not in kept}
-
-
-def address_places(lines: DataFrame, localities: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """(addr_id, place_id) of every distinct addr_id with a text, and the rewrites that were mined."""
+    strong = pairs.filter(F.col("n") >= VOTES).join(ends, "b").join(starts, "a").join(touched, "a", "left").fillna(1, ["touched"]).join(known, "a", "left_anti")
+    expected = F.greatest(F.col("na") * F.col("nb") / total, F.lit(1e-9))
+    strong = strong.filter(2 * F.col("n") * F.log(F.col("n") / expected) > SIGNIFICANT)
+    strong = strong.withColumn("sure", ~F.startswith("a", F.lit("~")) | (F.col("words") / F.greatest("touched", F.lit(1)) >= SURE))
+    best = strong.groupBy("a", "sure").agg(F.max_by("b", F.struct("n", F.length("b"), "b")).alias("b"))
+    return best.groupBy("a").agg(F.max_by("b", "sure").alias("b"), F.max("sure").alias("sure"))
+
+
+def address_places(lines: DataFrame, localities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(addr_id, place_id) of every distinct addr_id with a text, and the rewrites (a, b) that were mined."""
     spark = lines.sparkSession
     rows = lines.select("addr_id", "address").filter("addr_id is not null").dropDuplicates(["addr_id"]).filter(F.col("address").rlike(r"(?U)[\p{L}\p{N}]"))
     names = [tuple(r) for r in localities.select("postcode", "name_nl", "name_fr").distinct().limit(MOST_LOCALITIES + 1).collect()]
     if len(names) > MOST_LOCALITIES:
         raise ValueError("more localities than a country has")
-    parsed = materialize(rows.select("address").distinct().mapInPandas(_parsed(names), "address string, letters string, place string, street string"))
+    parsed = materialize(by_key(rows.select("address").distinct(), "address").mapInPandas(_parsed(names), "address string, letters string, place string, street string"))
     placed = parsed.filter("place is not null")
-    rules: dict[str, str] = {}
-    weak: dict[str, str] = {}
+    rules = spark.createDataFrame([], "a string, b string")
     current = placed.select("place", "street").distinct().withColumn("form", F.col("street"))
-    for _ in range(ROUNDS):
+    # every round has new left sides, of which there are no more than words and endings
+    while True:
         current = materialize(current)
-        fresh, weak = mine(current.select("place", F.col("form").alias("street")).distinct(), rules)
-        if not fresh:
+        found = materialize(mine(current.select("place", F.col("form").alias("street")).distinct(), rules.select("a")))
+        fresh, weak = found.filter("sure").select("a", "b"), found.filter("not sure").select("a", "b")
+        if fresh.isEmpty():
             break
-        rules |= fresh
-        current = current.withColumn("form", rewriter(fresh)("form"))
+        rules = rules.unionByName(fresh)
+        current = rewritten(current, "form", fresh)
     # articles are often left out
     joined = lambda c: F.regexp_replace(c, r"\b(?:de|du|des|la|le|l|d)\b| ", "")
-    forms = current.withColumn("s", joined("form")).withColumn("alt", joined(rewriter(weak)("form")))
+    forms = rewritten(current.withColumn("alt", F.col("form")), "alt", weak)
+    forms = materialize(forms.withColumn("s", joined("form")).withColumn("alt", joined("alt")))
     alike = forms.filter("s != alt").select("place", F.col("s").alias("a"), F.col("alt").alias("b"), F.lit(1).alias("edits")).distinct()
     # streets of different leading kinds (the words that rewrites lead to) are never linked
-    forms = materialize(forms.withColumn("kind", kind_of({b for b in rules.values() if not b.startswith("~")})("form")))
+    forms = materialize(with_kind(forms, rules.filter(~F.startswith("b", F.lit("~"))).select(F.col("b").alias("word"))))
     strings = materialize(forms.select("place", "kind", "s").union(forms.select("place", "kind", "alt")).distinct())
-    least = F.least(F.length("a"), F.length("b"))
-    close = near_pairs(strings, ["place", "kind"], most=3).filter(F.col("edits") <= F.when(least < 8, 1).when(least < 12, 2).otherwise(3))
+    close = near_pairs(strings, ["place", "kind"], limits=EDITS)
     # two edits in the last letters make another kind of street, unless they are one transposition
     tail = lambda c: F.right(c, F.lit(4))
     letters = lambda c: F.array_sort(F.split(tail(c), ""))

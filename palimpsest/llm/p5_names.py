@@ -6,7 +6,7 @@ neither. Where the order is open (two words, no comma, no particle), the word th
 decides; if neither is in common use, both orders are tried.
 
 Family names, organisations' names and given names within the same family are joined by
-segments.near_pairs. Family names link within two edits (one if shorter than SHORT). A given name in
+segments.near_pairs. Family names link within FAMILY_EDITS. A given name in
 common use is itself and no misspelling of another one; an unlisted form beside one that is TIMES as common is a
 misspelling. Other given names belong to the nearest one of their family. Nicknames belong to the given name the list has for them or that they are formed from. Initials,
 nicknames and family names alone belong to the person of the family they fit, if that is one; if
@@ -216,15 +216,14 @@ def _nick_keys(batches):
         yield pd.DataFrame(rows, columns=["fam", "given", "person", "patient", "side", "key"])
 
 
-def _slip():
-    """The edits between given names a and b that one misspelling makes."""
-    return F.col("edits") <= F.when(F.least(F.length("a"), F.length("b")) < 5, 1).otherwise(2)
+#: Edits that one misspelling makes, by the length of the shorter name: of a given name, and of a family or organisation.
+GIVEN_EDITS, FAMILY_EDITS = [(1, 1), (5, 2)], [(1, 1), (SHORT, 2)]
 
 
 def recurring_slips(known: DataFrame) -> DataFrame:
     """(g, meant) of the forms of known (g, d, usual, l) that aren't listed and misspell one that TIMES as many dossiers use as a
     given name; meant is its number of dossiers."""
-    pairs = near_pairs(known.filter(F.col("d") >= COMMON).select(F.lit(0).alias("all"), F.col("g").alias("s")), ["all"]).filter(_slip())
+    pairs = near_pairs(known.filter(F.col("d") >= COMMON).select(F.lit(0).alias("all"), F.col("g").alias("s")), ["all"], limits=GIVEN_EDITS)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     forms = known.filter("not l").select(F.col("g").alias("a"), F.col("d").alias("da"))
     return both.join(forms, "a").join(known.select(F.col("g").alias("b"), "usual"), "b").filter(F.col("usual") >= F.col("da") * TIMES).groupBy(F.col("a").alias("g")).agg(F.max("usual").alias("meant"))
@@ -257,18 +256,18 @@ def name_entities(names: DataFrame, settings: DataFrame, nicknames: DataFrame) -
     group = ["settings_id", "kind"]
     strings = read.select(*group, F.col("family").alias("s")).distinct()
     key = lambda c: F.concat_ws("\u0001", "settings_id", "kind", c)
-    close = near_pairs(strings, group).filter(F.col("edits") <= F.when(F.least(F.length("a"), F.length("b")) < SHORT, 1).otherwise(2))
+    close = near_pairs(strings, group, limits=FAMILY_EDITS)
     roots = components(close.select(key("a").alias("a"), key("b").alias("b")))
     read = read.withColumn("node", key("family")).join(roots, "node", "left").withColumn("fam", F.coalesce("root", "node")).drop("root", "node")
     read = materialize(read)
 
     # given names of a family: common ones stand for themselves, others for the nearest common one, else for each other
     people = read.filter("kind = 'p' and given != ''").groupBy("fam", "given").agg(F.max("common").alias("common"), F.max(F.col("ord") == -1).alias("patient"))
-    pairs = near_pairs(people.select("fam", F.col("given").alias("s")), ["fam"])
+    pairs = near_pairs(people.select("fam", F.col("given").alias("s")), ["fam"], limits=GIVEN_EDITS)
     both = pairs.select("fam", "a", "b", "edits").unionByName(pairs.select("fam", F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
     flag = people.select("fam", F.col("given").alias("a"), F.col("common").alias("ca"), F.col("patient").alias("pa"))
     flags = flag.select("fam", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("pa").alias("pb"))
-    both = both.join(flag, ["fam", "a"]).join(flags, ["fam", "b"]).filter(_slip())
+    both = both.join(flag, ["fam", "a"]).join(flags, ["fam", "b"])
     to_common = both.filter("not ca and (cb or pb) and not pa").groupBy("fam", "a").agg(F.min_by("b", F.struct("edits", "b")).alias("b"))
     rare = both.filter("not ca and not cb").join(to_common, ["fam", "a"], "left_anti").join(to_common.select("fam", F.col("a").alias("b")), ["fam", "b"], "left_anti").select("fam", "a", "b")
     gkey = lambda c: F.concat_ws("\u0002", "fam", c)

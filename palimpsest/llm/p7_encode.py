@@ -1,13 +1,12 @@
 """Problem 7: token ids of every document, each content-defined chunk encoded once.
 
-Texts are cut where a rolling hash of the last WINDOW code points has its low bits at zero, so equal
-passages of different documents fall into equal chunks wherever they stand. Distinct chunks are
-encoded once. A chunk's ids are those of the whole text except near its ends; the joins are
-repaired by encoding again the text between the last safe point of one chunk and the first one of the
-next. A safe point is a single blank between two visible ASCII characters: the tokenizer's pattern
-starts a piece there whatever comes before or after, so from one safe point to another the ids agree
-exactly with those of the whole text. Chunks without a safe point are encoded with their
-neighbours.
+Where a rolling hash of the last WINDOW code points has its low bits at zero, the text is cut at the next safe point, so equal
+passages of different documents fall into equal chunks wherever they stand. Distinct chunks are encoded once. A safe
+point is a single blank between two visible ASCII characters: the tokenizer's pattern starts a piece there whatever comes
+before or after, so from one safe point to another the ids agree exactly with those of the whole text, and such chunks
+are joined as they are. A text that goes on for MOST code points without a safe point is cut anyway; there the join is
+repaired by encoding again the text between the last safe point of one chunk and the first one of the next, or
+whole chunks where they have none.
 
 Null and empty texts have defined ids: an empty list. Strings of special tokens are ordinary text.
 """
@@ -16,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.hashing import FIRST, Rolling, code_points
 from palimpsest.plans.session import join_counted, materialize, spread, table
 
-#: A chunk has 2**BITS code points on average, LEAST to MOST of them (the last of a text may be shorter).
-WINDOW, BITS, LEAST, MOST = 16, 8, 48, 4096
+#: A chunk has 2**BITS code points or some more on average, LEAST to MOST of them (the last of a text may be shorter).
+WINDOW, BITS, LEAST, MOST = 16, 11, 512, 1 << 16
 
 
 def tokenizer_dir() -> str:
@@ -57,22 +57,33 @@ def encoder(folder: str):
 _roll = Rolling(*FIRST)
 
 
-def chunks_of(text: str) -> list[str]:
-    """Content-defined chunks; their concatenation is the text."""
+_safe = re.compile("(?<=[!-~]) (?=[!-~])")
+
+
+def chunks_of(text: str) -> tuple[list[str], bool]:
+    """Content-defined chunks, whose concatenation is the text, and whether all are cut at safe points."""
     n = len(text)
     if n <= LEAST:
-        return [text] if text else []
+        return ([text] if text else []), True
     h = _roll.windows(code_points(text), WINDOW)
     marks = np.flatnonzero((h & np.uint64((1 << BITS) - 1)) == 0) + WINDOW
-    out, at = [], 0
-    for cut in [*marks.tolist(), n]:
+    out, at, safe = [], 0, True
+    for mark in [*marks.tolist(), n]:
+        if mark - at < LEAST and mark < n:
+            continue
+        m = _safe.search(text, mark) if mark < n else None
+        cut = m.start() if m else n
         while cut - at > MOST:
-            out.append(text[at : at + MOST])
-            at += MOST
-        if cut - at >= LEAST or cut == n and cut > at:
+            # the next safe point within reach, else anywhere
+            m = _safe.search(text, at + LEAST, at + MOST)
+            end = m.start() if m else at + MOST
+            safe = safe and m is not None
+            out.append(text[at:end])
+            at = end
+        if cut > at:
             out.append(text[at:cut])
             at = cut
-    return out
+    return out, safe
 
 
 def stitch(parts: list[np.ndarray], folder: str) -> np.ndarray:
@@ -106,14 +117,15 @@ def stitch(parts: list[np.ndarray], folder: str) -> np.ndarray:
 
 def _chunked(batches):
     for b in batches:
-        uid, seq, key, text = [], [], [], []
+        uid, seq, key, text, safe = [], [], [], [], []
         for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            parts = chunks_of(t)
+            parts, good = chunks_of(t)
+            safe += [good] * len(parts)
             uid += [u] * len(parts)
             seq += range(len(parts))
             text += parts
             key += [xxhash.xxh3_128_digest(p.encode()) for p in parts]
-        yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(text, pa.string())], ["uid", "seq", "key", "chunk"])
+        yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(text, pa.string()), pa.array(safe, pa.bool_())], ["uid", "seq", "key", "chunk", "safe"])
 
 
 def _encoded(folder: str):
@@ -144,16 +156,17 @@ def encode_corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", f
     folder = folder or tokenizer_dir()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     full = F.coalesce(F.length("text"), F.lit(0)) > 0
-    # a row's number in the scan, so that repeated rows and null ids stay apart
-    numbered = spread(rows, "doc_id", F.xxhash64("text")).withColumn("uid", F.monotonically_increasing_id())
-    numbered = materialize(numbered) if numbered.rdd.getNumPartitions() != rows.rdd.getNumPartitions() else numbered
-    chunks = numbered.filter(full).select("uid", "text").mapInArrow(_chunked, "uid long, seq int, key binary, chunk string")
+    # a row's number in the scan, so that repeated rows and null ids stay apart; written, as it is read twice
+    numbered = materialize(spread(rows, "doc_id", F.xxhash64("text")).withColumn("uid", F.monotonically_increasing_id()))
+    chunks = numbered.filter(full).select("uid", "text").mapInArrow(_chunked, "uid long, seq int, key binary, chunk string, safe boolean")
     distinct = chunks.groupBy("key").agg(F.first("chunk").alias("chunk"), F.count("*").alias("n"))
     encoded = materialize(distinct.mapInArrow(_encoded(folder), "key binary, n long, ids array<int>"))
     total = encoded.agg(F.sum("n")).first()[0] or 0
-    parts = join_counted(chunks.select("uid", "seq", "key"), encoded, "key", "n", total).select("uid", F.struct("seq", "ids").alias("part"))
-    whole = parts.groupBy("uid").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    ids = whole.mapInArrow(_stitched(folder), "uid long, ids array<int>")
+    parts = join_counted(chunks.select("uid", "seq", "key", "safe"), encoded, "key", "n", total).select("uid", "safe", F.struct("seq", "ids").alias("part"))
+    whole = parts.groupBy("uid").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.min("safe").alias("safe"))
+    joined = whole.filter("safe").select("uid", F.flatten(F.transform("parts", lambda p: p.ids)).alias("ids"))
+    repaired = whole.filter("not safe").select("uid", "parts").mapInArrow(_stitched(folder), "uid long, ids array<int>")
+    ids = joined.unionByName(repaired)
     return numbered.select("uid", "doc_id").join(ids, "uid", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
