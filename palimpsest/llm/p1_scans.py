@@ -35,9 +35,13 @@ from palimpsest.plans.session import materialize, spread, table
 CONFUSED = [("c", "e"), ("l", "i"), ("f", "t"), ("0", "o"), ("9", "g"), ("5", "s"), ("1", "l"), ("1", "i"), ("6", "b"), ("6", "é"), ("8", "b"), ("rn", "m"), ("m", "rn"), ("ii", "u"), ("li", "h"), ("cl", "d"), ("vv", "w")]
 #: A misread token is so many times rarer than the word meant, which occurs at least LEAST times.
 RARER, LEAST = 4, 4
-#: Words more frequent than 1 in COMMON of all are no suspects; there are fewer than COMMON of them.
+#: Words more frequent than 1 in COMMON of all, of which there are fewer than COMMON, are known to all tasks; but for misread
+#: ones they are no suspects.
 COMMON = 50_000
 
+#: Letters and digits of a line from which its recurrence tells something: shorter ones recur by chance.
+SHORTEST = 6
+
 HEADER, NUMBER, BODY, BREAK = range(4)
 _twins = str.maketrans(TWINS)
 _signs = re.compile(r"[\W_]+")
@@ -136,13 +140,12 @@ def document(pages: list[str | None]) -> list[Page]:
         mine = {}
         for i, place in edges(p.lines).items():
             line = p.lines[i]
-            if len(line) < 130:
-                num = own_number(line, k + 1)
-                if num:
-                    p.numbers[i] = num
-                key = confused_key(stripped(line, num))
-                if len(key) >= 9:
-                    mine[i] = (place, key)
+            num = own_number(line, k + 1)
+            if num:
+                p.numbers[i] = num
+            key = confused_key(stripped(line, num))
+            if len(key) >= SHORTEST:
+                mine[i] = (place, key)
         out.append(p)
         keys.append(mine)
     # how many other pages have a line's key at the same side
@@ -189,11 +192,10 @@ def prior() -> tuple[np.ndarray, np.ndarray]:
         ends, short, form, again, place = x & 1, x >> 1 & 1, x >> 2 & 3, x >> 4 & 1, x >> 5
         if place and again:
             e[HEADER, o] = 4.0
-        elif place and form == 2:
-            e[HEADER, o] = 0.1
-        if place and form == 1:
-            e[NUMBER, o] = 5.0
-        e[BODY, o] = 4.0 if not place else 1.5 if not again and form != 1 else 0.05
+        # a number alone, or with a word for pages inside a line at the edge, is the page's
+        if place and form in (1, 2):
+            e[NUMBER, o] = 5.0 if form == 1 else 3.0
+        e[BODY, o] = 4.0 if not place else 1.5 if not again and form not in (1, 2) else 0.05
     t = np.array([[0.1, 0.4, 3.0, 1.5], [0.4, 0.05, 2.0, 1.5], [0.3, 0.2, 8.0, 1.5], [0.3, 0.2, 4.0, 0.5]])
     return e, t
 
@@ -256,7 +258,7 @@ def undone(token: str) -> set[str]:
     """What a token may have been before scanning: one confusion undone, or all its digits."""
     out = set()
     if any(c.isdigit() for c in token):
-        if not any(c.isalpha() for c in token) or sum(c.isdigit() for c in token) > 3:
+        if not any(c.isalpha() for c in token) or sum(c.isdigit() for c in token) > 6:
             return out
         options = [[y for x, y in CONFUSED if x == c] if c.isdigit() else [c] for c in token]
         if all(options):
@@ -329,7 +331,7 @@ def findings(pages: list[str | None], le: np.ndarray, lt: np.ndarray, common: fr
                 for w in _word.findall(stripped(line, num)):
                     if any(c.isdigit() for c in w) and any(c in "lIOoSB" for c in w) and all(c.isdigit() or c in "lIOoSB" for c in w):
                         out.add((k + 1, "misread", None, None))
-            if num and (label == NUMBER or label == HEADER or num[2] == "marked" and label == BODY or num[2] == "alone"):
+            if num and label in (NUMBER, HEADER):
                 out.add((k + 1, "page_number", None, None))
                 if any(c.isalpha() or c == "|" for c in "".join(re.findall(r"(?<![^\W\d])[0-9lIOoSBZ|]{1,4}(?![^\W\d])", line[num[0] : num[1]]))) and not re.fullmatch(r"[\s|]*[^\d]*\d+\D*\d*[\s|]*", line[num[0] : num[1]]):
                     out.add((k + 1, "misread", None, None))
@@ -381,10 +383,9 @@ def _readings(batches):
     for b in batches:
         token, reading = [], []
         for t in b.column(0).to_pylist():
-            if len(t) < 60:
-                u = undone(t)
-                token += [t] * len(u)
-                reading += u
+            u = undone(t)
+            token += [t] * len(u)
+            reading += u
         yield pa.record_batch([pa.array(token, pa.string()), pa.array(reading, pa.string())], ["token", "word"])
 
 
@@ -398,6 +399,14 @@ def _found(le, lt, common):
     return run
 
 
+def meant_words(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, reading): what misread tokens were, by the corpus's counts; other tokens have no row."""
+    readings = asked.mapInArrow(_readings, "token string, word string").join(words, "word").filter(F.col("n") >= F.when(F.length("token") < 4, 50 * LEAST).otherwise(LEAST))
+    own = words.withColumnRenamed("word", "token").withColumnRenamed("n", "own")
+    meant = readings.join(own, "token", "left").filter(F.col("n") >= RARER * F.coalesce("own", F.lit(0)))
+    return meant.groupBy("token").agg(F.max_by("word", F.struct("n", "word")).alias("reading"))
+
+
 def scan_model(docs: DataFrame):
     """Documents with pages, the model's tables, the words' counts and the set of common words."""
     has = docs.filter("id is not null and size(pdf_pages) > 0").select(F.col("id").alias("document_id"), F.col("pdf_pages.text").alias("pages"))
@@ -406,21 +415,20 @@ def scan_model(docs: DataFrame):
     texts = spread(docs.select(F.col("raw_text").alias("text")).filter("text is not null"))
     words = materialize(texts.mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0] or 0
-    common = frozenset(r.word for r in words.filter(F.col("n") > max(total // COMMON, 50)).select("word").collect())
+    often = words.filter(F.col("n") > max(total // COMMON, LEAST)).select("word")
+    # a frequent word that is itself a misreading of a far more frequent one stays a suspect
+    common = frozenset(r.word for r in often.join(meant_words(often.withColumnRenamed("word", "token"), words), F.col("word") == F.col("token"), "left_anti").collect())
     return has, le, lt, words, common
 
 
-def scan_noise(docs: DataFrame) -> DataFrame:
+def scan_noise(docs: DataFrame, model=None) -> DataFrame:
     """(document_id, page_no, kind, token, reading): noise found on the pages; reading is the word meant by a misread token,
     or the joined word of a divided one."""
-    has, le, lt, words, common = scan_model(docs)
+    has, le, lt, words, common = model or scan_model(docs)
     found = materialize(has.mapInArrow(_found(le, lt, common), "document_id string, page_no int, kind string, token string, other string").distinct())
     sure = found.filter("token is null").select("document_id", "page_no", "kind", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("reading"))
     asked = found.filter("kind = 'suspect'").select("token").distinct()
-    readings = asked.mapInArrow(_readings, "token string, word string").join(words, "word").filter(F.col("n") >= F.when(F.length("token") < 4, 50 * LEAST).otherwise(LEAST))
-    own = words.withColumnRenamed("word", "token").withColumnRenamed("n", "own")
-    meant = readings.join(own, "token", "left").filter(F.col("n") >= RARER * F.coalesce("own", F.lit(0)))
-    meant = meant.groupBy("token").agg(F.max_by("word", F.struct("n", "word")).alias("reading"))
+    meant = meant_words(asked, words)
     misread = found.filter("kind = 'suspect'").join(meant, "token").select("document_id", "page_no", F.lit("misread").alias("kind"), "token", "reading")
     cut = found.filter("kind in ('split', 'split_if_known')").join(words.select(F.col("word").alias("token"), F.col("n").alias("joined")), "token", "left")
     cut = cut.join(words.select(F.col("word").alias("other"), F.col("n").alias("compound")), "other", "left").join(meant.select("token", F.lit(True).alias("altered")), "token", "left")
@@ -467,8 +475,9 @@ def _cased(token: str, reading: str | None) -> str:
 def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, text) of every distinct scanned document as continuous paragraphs."""
     docs = table(spark, sf_dir, "imported_documents")
-    fixes = scan_noise(docs).filter("token is not null").groupBy("document_id").agg(F.collect_set(F.struct("kind", "token", "reading")).alias("fixes"))
-    has, le, lt, _, common = scan_model(docs)
+    model = scan_model(docs)
+    fixes = scan_noise(docs, model).filter("token is not null").groupBy("document_id").agg(F.collect_set(F.struct("kind", "token", "reading")).alias("fixes"))
+    has, le, lt, _, common = model
     return has.dropDuplicates(["document_id"]).join(fixes, "document_id", "left").mapInArrow(_assembled(le, lt, common), "document_id string, text string")
 
 

@@ -193,6 +193,20 @@ def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.dropDuplicates(["document_id", "page_no", "exact"]).select("document_id", "page_no", "text")
 
 
+def alike_classes(rows: DataFrame) -> DataFrame:
+    """(document_id, page_no, class_id, n_units, n_writings) of every unit whose form other code points have too.
+
+    class_id is the hash of the form; n_writings the number of different code point sequences. Linear in the class: no pairs.
+    """
+    forms = materialize(canonical_units(rows, keep_text=False).filter("form is not null").select("document_id", "page_no", "exact", "form").distinct())
+    sizes = forms.groupBy("form", "exact").agg(F.count("*").alias("n")).groupBy("form").agg(F.sum("n").alias("n_units"), F.count("*").alias("n_writings"))
+    return forms.join(sizes.filter("n_writings > 1"), "form").select("document_id", "page_no", F.lower(F.hex("form")).alias("class_id"), "n_units", "n_writings")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alike_classes(units(table(spark, sf_dir, "imported_documents")))
+
+
 def alike_pairs(rows: DataFrame) -> DataFrame:
     """(document_id_a, page_no_a, document_id_b, page_no_b): units of one form but different code points, a < b."""
     forms = materialize(canonical_units(rows, keep_text=False).filter("form is not null").select("document_id", "page_no", "exact", "form").distinct())
@@ -207,4 +221,4 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alike_pairs(units(table(spark, sf_dir, "imported_documents")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_text": p4_text}
+QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p4_classes": p4_classes}

@@ -6,7 +6,7 @@ calibrated by one temperature on held-out sentences. Term frequencies are relati
 n-grams; document frequencies are counted over all documents. Labels may be wrong, so it is trained again CLEANINGS times: documents and
 sentences whose label the last model contradicts take no part in the next training, nor in calibration.
 Training uses a sample of SAMPLE labelled documents a language at most, those with the least hash of
-their id; everything else covers all data.
+their id, and SENTENCES of each at most, those with the least hash; everything else covers all data and whole texts.
 
 A text's sentences are labelled together (Viterbi over calibrated log-probabilities, weighted by their letters,
 with a cost for a change of language), which gives segments. A language is one of the document's
@@ -31,7 +31,8 @@ from palimpsest.plans.session import materialize, spread, table
 
 LANGS = ["nl", "fr", "de", "en"]
 DIM, ORDERS = 1 << 16, (2, 3, 4)
-SAMPLE, CLEANINGS = 160, 2
+#: Bounds of what is trained on: documents of a language, and sentences of a document, those with the least hash of each.
+SAMPLE, SENTENCES, CLEANINGS = 160, 40, 2
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-3, 1e-2
 SWITCH, LETTERS = 6.0, 50
 
@@ -192,15 +193,20 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         else:
             idf[r.gram] = r.n
     idf = np.where(idf > 0, np.log((1 + total) / (1 + idf)) + 1.0, 0.0)
-    labelled = docs.filter(F.col("raw_text").rlike(r"\p{L}") & F.col("id").isNotNull()).select("id", "raw_text", "source_kind", label_language(F.col("lang_label")).alias("lang"))
+    labelled = docs.filter(F.col("raw_text").rlike(r"\p{L}") & F.col("id").isNotNull()).select("id", label_language(F.col("lang_label")).alias("lang"))
+    # ids first, repeated ones once; their texts in one more scan
+    chosen = None
+    for lang in LANGS:
+        least = labelled.filter(F.col("lang") == lang).select("id", "lang").groupBy("id").agg(F.first("lang").alias("lang")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+        chosen = least if chosen is None else chosen.unionByName(least)
+    picked = docs.filter("raw_text is not null").select("id", "raw_text", "source_kind").join(F.broadcast(chosen), "id").dropDuplicates(["id", "lang"])
     parts, labels, fold, owner = [], [], [], []
-    for k, lang in enumerate(LANGS):
-        for d in labelled.filter(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
-            mine = [x for *_, x in sentences(d.raw_text, d.source_kind) if len(x) > 20][:40]
-            parts += mine
-            labels += [k] * len(mine)
-            fold += [hash_of(d.id) % 5] * len(mine)
-            owner += [d.id] * len(mine)
+    for d in sorted(picked.collect(), key=lambda d: (LANGS.index(d.lang), hash_of(d.id), d.id)):  # SAMPLE documents a language at most
+        mine = sorted({x for *_, x in sentences(d.raw_text, d.source_kind) if len(x) > 20}, key=lambda x: (hash_of(x), x))[:SENTENCES]
+        parts += mine
+        labels += [LANGS.index(d.lang)] * len(mine)
+        fold += [hash_of(d.id) % 5] * len(mine)
+        owner += [d.id] * len(mine)
     if not parts:
         return np.zeros((DIM, len(LANGS)), np.float32), np.zeros(len(LANGS), np.float32), 1.0
     labels, fold = np.array(labels), np.array(fold)

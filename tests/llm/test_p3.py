@@ -40,5 +40,5 @@ def test_places(spark):
     for x in lines.collect():
         got.setdefault(x.place_id, []).append(x.addr_id)
     assert sorted(sorted(v) for v in got.values()) == sorted(want + [[n], [n + 1], [n + 4], [n + 5, n + 6]])
-    assert rules.get("bld") == "boulevard"
+    assert {r.a: r.b for r in rules.collect()}.get("bld") == "boulevard"
     assert p3.address_places(df.limit(0), loc)[0].count() == 0

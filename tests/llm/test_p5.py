@@ -19,8 +19,8 @@ def lev(a, b):
 def test_segment_join_equals_brute_force(spark):
     r = random.Random(5)
     words = {"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(150)}
-    got = {(x.a, x.b) for x in near_pairs(spark.createDataFrame([(1, w) for w in words] + [(2, "abcabc"), (None, "abcab")], "g int, s string"), ["g"]).collect()}
-    want = {(a, b) for a in words for b in words if (len(a), a) < (len(b), b) and min(len(a), len(b)) > 2 and lev(a, b) <= 2}
+    got = {(x.a, x.b) for x in near_pairs(spark.createDataFrame([(1, w) for w in words] + [(2, "abcabc"), (None, "abcab"), (3, "")], "g int, s string"), ["g"], limits=[(1, 1), (3, 2), (7, 3)]).collect()}
+    want = {(a, b) for a in words for b in words if (len(a), a) < (len(b), b) and lev(a, b) <= (1 if len(a) < 3 else 2 if len(a) < 7 else 3)}
     assert got == want
 
 
