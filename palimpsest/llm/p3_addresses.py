@@ -230,7 +230,7 @@ def _cut(batches):
 def rewritten(forms: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     """forms with the words of a column rewritten by rules (a, b): a whole word by its rule, else its longest ending that has one."""
     words = forms.select(F.explode(F.split(column, " ")).alias("word")).filter("word != ''").distinct()
-    hits = by_key(words, "word").mapInPandas(_cut, "word string, place int, a string").join(rules, "a")
+    hits = words.mapInPandas(_cut, "word string, place int, a string").join(rules, "a")
     ending = F.expr("substring(b, 2, length(b))")
     hits = hits.withColumn("new", F.when(F.col("place") == 0, F.col("b")).when(~F.endswith("word", ending), F.concat(F.expr("substring(word, 1, place)"), ending))).filter("new is not null")
     new = hits.groupBy("word").agg(F.min_by("new", "place").alias("new"))
