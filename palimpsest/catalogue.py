@@ -97,9 +97,17 @@ def email_spans(spark, d):
     return found.select("doc_id", F.col("s.text").alias("text"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"))
 
 
-@query()
+@query(f"""
+with recursive a as (select doc_id, string_split_regex(text, '{_EMAIL}') as gaps, regexp_extract_all(text, '{_EMAIL}') as hits from documents where text is not null),
+f(doc_id, i, seen, shown) as (
+  select doc_id, 0, cast([] as struct(t varchar, n integer)[]), gaps[1] from a
+  union all
+  select f.doc_id, i + 1, list_append(seen, {{'t': hits[i + 1], 'n': coalesce([x.n for x in seen if damerau_levenshtein(x.t, hits[i + 1]) <= 1][1], coalesce(list_max([x.n for x in seen]), 0) + 1)}}),
+    shown || '[EMAIL-' || coalesce([x.n for x in seen if damerau_levenshtein(x.t, hits[i + 1]) <= 1][1], coalesce(list_max([x.n for x in seen]), 0) + 1) || ']' || gaps[i + 2]
+  from f join a on a.doc_id = f.doc_id where i < len(hits))
+select f.doc_id, shown as output_text, cast(len(list_distinct([x.n for x in seen])) as integer) as n from f join a on a.doc_id = f.doc_id where i = len(hits)""")
 def email_placeholders(spark, d):
-    return flagship(spark, d)
+    return flagship(spark, d).select("doc_id", "output_text", F.size("placeholder_references").alias("n"))
 
 
 @query()
@@ -189,12 +197,6 @@ def person_parts(spark, d):
     return n.select("name_id", names.person_parts(F.col("name")).alias("p")).select("name_id", "p.given", "p.family")
 
 
-@query()
-def person_variants(spark, d):
-    n = table(spark, d, "name_records").filter("name is not null").select("name_id", "name").distinct()
-    return n.select("name_id", names.person_variants(F.col("name")).alias("variants"))
-
-
 @query(rf"""
 with a as (select distinct addr_id, regexp_extract_all(address, '{_W}+') as t from custom_address_lines where address is not null),
 b as (select addr_id, t, coalesce(list_position(list_transform(range(1, len(t) + 1), lambda i: i < len(t) and regexp_full_match(t[i], '\d{{4,5}}')), true), 0) as k from a),
@@ -209,12 +211,6 @@ def address_parts(spark, d):
     return a.select("addr_id", names.address_parts(F.col("address")).alias("p")).select("addr_id", "p.street", "p.number", "p.postcode", "p.city")
 
 
-@query()
-def address_variants(spark, d):
-    a = table(spark, d, "custom_address_lines").filter("address is not null").select("addr_id", "address").distinct()
-    return a.select("addr_id", names.address_variants(F.col("address")).alias("variants"))
-
-
 _MONTH_ROWS = ", ".join(f"({k}, '{m}')" for k, v in dates.BIRTH_MONTHS.items() for m in v)
 
 
@@ -437,18 +433,6 @@ def list_entries(spark, d):
     return s.filter(~F.contains("u", F.lit("\n"))).select("settings_id", "saved", F.size(text.list_lines(F.col("t"))).alias("n"))
 
 
-@query()
-def person_pseudonyms(spark, d):
-    a = table(spark, d, "backend_annotations").filter(F.lower("tag").isin(documents.PERSON_TAGS)).select("text").distinct()
-    return by_key(a, "text").select("text", keyed.person_pseudonym(F.lit(TEST_SECRET), F.col("text")).alias("pseudonym"))
-
-
-@query()
-def institution_pseudonyms(spark, d):
-    a = table(spark, d, "backend_annotations").filter(F.lower("tag").isin(documents.INSTITUTION_TAGS)).select("text").distinct()
-    return by_key(a, "text").select("text", keyed.institution_pseudonym(F.lit(TEST_SECRET), F.col("text")).alias("pseudonym"))
-
-
 @query()
 def html_text(spark, d):
     i = spread(table(spark, d, "imported_documents").filter("source_kind = 'html' and raw_text is not null").select("id", "raw_text"))

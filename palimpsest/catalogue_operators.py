@@ -133,7 +133,7 @@ with {_PARTS},
 q as (select name_id, c, array_to_string(regexp_extract_all(g, '{_W}+'), ' ') as g, array_to_string(regexp_extract_all(f, '{_W}+'), ' ') as f from p),
 v as (select name_id, case when c = '' then [] when g <> '' and f <> '' then [c, g || ' ' || f, f || ' ' || g, f || ', ' || g] else [c] end as v from q)
 select name_id, array_to_string([v[i] for i in range(1, len(v) + 1) if list_position([lower(x) for x in v], lower(v[i])) = i], '|') as variants from v""")
-def person_spellings(spark, d):
+def person_variants(spark, d):
     n = table(spark, d, "name_records").filter("name is not null").select("name_id", "name").distinct()
     return n.select("name_id", F.array_join(names.person_variants(F.col("name")), "|").alias("variants"))
 
@@ -149,7 +149,7 @@ v as (select addr_id, case when c = '' then [] when nr = '' then [c, words] when
   else [c, words, street || ' ' || nr || ' ' || loc, nr || ' ' || street || ' ' || loc, street || ' ' || nr, nr || ' ' || street] end as v from p),
 w as (select addr_id, [x for x in v if x <> ''] as v from v)
 select addr_id, array_to_string([v[i] for i in range(1, len(v) + 1) if list_position([lower(x) for x in v], lower(v[i])) = i], '|') as variants from w""")
-def address_spellings(spark, d):
+def address_variants(spark, d):
     a = table(spark, d, "custom_address_lines").filter("address is not null").select("addr_id", "address").distinct()
     return a.select("addr_id", F.array_join(names.address_variants(F.col("address")), "|").alias("variants"))
 
@@ -274,6 +274,20 @@ def smart_cleanup(spark, d):
     return done.select("settings_id", "name", "r.text")
 
 
+@query(f"""
+with a as (select distinct lower(text) as t from backend_annotations where lower(tag) in ('hospital', 'institution', 'healthcare_institution', 'ziekenhuis', 'zorginstelling')),
+b as (select t, ' ' || t || ' ' as p, lower(trim(regexp_replace(t, '{_EDGE}+', ' ', 'g'))) as k from a),
+l as (select t, k, p, {" + ".join(f"cast(contains(p, '{w}') as integer)" for w in ("clinique", "hopital", "hôpital", "centre", "cabinet", "maison", "sante", "santé"))} as fr,
+  {" + ".join(f"cast(contains(p, '{w}') as integer)" for w in ("ziekenhuis", "kliniek", "praktijk", "zorg", "centrum", "az ", " uz", "uz "))} as nl from b),
+g as (select t, fr > nl or fr = nl and strpos('13579bdf', substr(sha256(p), 2, 1)) > 0 as french, {_hmac("'institution' || chr(31) || k || chr(31) || '0'")} as h from l)
+select t as text, lower(case when french then {_picked(keyed.KINDS["fr"], "h")} else {_picked(keyed.KINDS["nl"], "h")} end || ' ' || case when {_number("h", 3, 1)} = 0 then {_picked(keyed.SURNAMES, "h", 2)}
+  when french then {_picked(keyed.PLACES["fr"], "h", 3)} else {_picked(keyed.PLACES["nl"], "h", 3)} end) as pseudonym from g""")
+def institution_pseudonyms(spark, d):
+    """Pseudonyms of institutions in lower case, in the language of their names."""
+    a = table(spark, d, "backend_annotations").filter(F.lower("tag").isin(documents.INSTITUTION_TAGS)).select(F.lower("text").alias("text")).distinct()
+    return a.select("text", keyed.institution_pseudonym(F.lit(TEST_SECRET), F.col("text")).alias("pseudonym"))
+
+
 # recognition and spans
 
 _RUNS = "[0-9./-]+"
@@ -625,3 +639,18 @@ def smart_documents(spark, d):
     given = [r[0] for r in table(spark, d, "given_nicknames").select("given_name").filter("given_name is not null").distinct().limit(5000).collect()]
     done = documents.process_documents(table(spark, d, "imported_documents"), secret_hex=F.lit(TEST_SECRET), given=given, dossiers=own)
     return done.select("document_id", "status", F.coalesce(F.regexp_count("output_text", F.lit(r"\[PATIENT\]")), F.lit(0)).cast("long").alias("patients"))
+
+
+@query(r"""
+with a as (select distinct id, len(pdf_pages) as n from imported_documents where source_kind = 'pdf' and len(pdf_pages) > 0)
+select id, true as is_pdf, cast(n as integer) as pages from a""")
+def exported_pdf_files(spark, d):
+    """Files that paged documents are exported as, by their first bytes and the pages that are read from them (one sheet each here)."""
+    from palimpsest.sources.pdf import extract_pages
+
+    i = table(spark, d, "imported_documents").filter("source_kind = 'pdf' and size(pdf_pages) > 0").select("id", "source_kind", "raw_text", "pdf_pages").dropDuplicates(["id"])
+    # pages of the scans have about 60 lines, so they fit on a sheet of twice the height
+    sizes = F.transform("pdf_pages", lambda p: F.struct((p.width * 2).alias("width"), (p.height * 4).alias("height")))
+    made = materialize(spread(i).select("id", export.render_content(F.col("source_kind"), F.col("raw_text"), F.transform("pdf_pages", lambda p: F.coalesce(p.text, F.lit(""))), sizes, F.lit(False)).alias("content")))
+    n = extract_pages(made).groupBy("id").agg(F.count("*").cast("int").alias("pages"))
+    return made.select("id", (F.substring(F.decode(F.substring("content", 1, 5), "US-ASCII"), 1, 5) == "%PDF-").alias("is_pdf")).join(n, "id")

@@ -12,6 +12,7 @@ from palimpsest.functions.keyed import hashed_stem
 from palimpsest.functions.text import is_placeholder, normalize_page_text, similarity, skeleton
 from palimpsest.operators.html import html_to_text
 from palimpsest.plans.session import materialize
+from palimpsest.sources.pdf import pdf_file
 
 #: Accents that sanitising removes, and names that Windows reserves.
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
@@ -81,6 +82,15 @@ def render_output(source_kind: Column, output_text: Column, text_mode: Column) -
     return F.when(text_mode & (source_kind == "html"), html_to_text(output_text)).otherwise(output_text)
 
 
+def render_content(source_kind: Column, output_text: Column, page_texts: Column, sizes: Column, text_mode: Column) -> Column:
+    """The bytes that are written: a PDF of the pages (or of the whole text) at their sizes for paged documents unless in text mode, else the
+    rendered text in UTF-8. sizes: array of structs with width and height."""
+    pages = F.when(F.size(page_texts) > 0, page_texts).otherwise(F.array(output_text))
+    paged = (source_kind == "pdf") & ~text_mode
+    made = pdf_file(F.when(paged, pages), F.transform(sizes, lambda p: p.width), F.transform(sizes, lambda p: p.height))
+    return F.when(paged, made).otherwise(F.encode(render_output(source_kind, output_text, text_mode), "utf-8"))
+
+
 def exported(docs: DataFrame, processed: DataFrame) -> DataFrame:
     """Documents with their latest processed generation."""
     latest = processed.groupBy(F.col("document_id").alias("id")).agg(F.max_by(F.struct("output_text", "pdf_page_texts", "placeholder_references", "warnings", "generation"), "generation").alias("p"))
@@ -186,7 +196,7 @@ def write_zip(rows: DataFrame, report: DataFrame, path: str) -> tuple[int, int]:
     files, lines = 0, 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for r in rows.select("name", "content").toLocalIterator():
-            z.writestr(r["name"], r["content"] or "")
+            z.writestr(r["name"], bytes(r["content"]) if isinstance(r["content"], (bytes, bytearray)) else r["content"] or "")
             files += 1
         with z.open(REPORT, "w") as f:
             section = None

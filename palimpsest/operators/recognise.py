@@ -68,7 +68,7 @@ def general_names(text: Column, given: list[str]) -> Column:
         at = F.array_position(hits, True).cast("int")
         first = F.when((at == F.size(words)) & (at > 1), at - 1).otherwise(at)
         # the letters and gaps before the first word that counts
-        lead = F.length(F.regexp_substr(s.text, F.concat(F.lit(rf"(?U)\A(?:[^\p{{L}}'’-]*{word[4:]}){{"), (first - 1).cast("string"), F.lit(r"}[^\p{L}'’-]*"))))
+        lead = F.coalesce(F.length(F.regexp_substr(s.text, F.concat(F.lit(rf"(?U)\A(?:[^\p{{L}}'’-]*{word[4:]}){{"), (first - 1).cast("string"), F.lit(r"}[^\p{L}'’-]*")))), F.lit(0))
         cut_off = F.struct(F.substring(s.text, lead + 1, F.length(s.text)).alias("text"), s.tag.alias("tag"), (s.start + lead).cast("int").alias("start"), s.end.alias("end"))
         return F.when(at > 0, cut_off)
 

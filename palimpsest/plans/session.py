@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +64,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    while _written:
+def drop_written(keep: int = 0) -> None:
+    """Removes what was written, but for the first `keep`."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -75,6 +78,17 @@ def drop_written() -> None:
 
 atexit.register(drop_written)
 
+
+@contextmanager
+def scoped() -> Iterator[None]:
+    """What is written inside is removed at the end: for results that are read inside too, as those of a micro-batch."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(before)
+
+
 #: A key that holds more than 1/HOT of all rows is a heavy hitter, so there are fewer than HOT of them.
 HOT = 500
 

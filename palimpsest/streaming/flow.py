@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palimpsest.plans.session import materialize
+from palimpsest.plans.session import materialize, scoped
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -66,13 +66,14 @@ def run(stream: DataFrame, process: Callable[[DataFrame], DataFrame], write: Cal
 
     def one(batch: DataFrame, number: int) -> None:
         newest = latest_per_key(batch, key, list(order))
-        try:
-            done = materialize(process(newest))
-        except Exception as e:
-            if not is_data_error(e):
-                raise
-            done = newest.select(F.col(key).alias("document_id"), F.lit(None).cast("string").alias("output_text"), F.lit("error").alias("status"), F.lit(str(e)[:500]).alias("error_message"))
-        write(done, number)
+        with scoped():
+            try:
+                done = materialize(process(newest))
+            except Exception as e:
+                if not is_data_error(e):
+                    raise
+                done = newest.select(F.col(key).alias("document_id"), F.lit(None).cast("string").alias("output_text"), F.lit("error").alias("status"), F.lit(str(e)[:500]).alias("error_message"))
+            write(done, number)
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or ({"processingTime": debounce} if debounce else {"availableNow": True}))).start()

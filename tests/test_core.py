@@ -258,3 +258,91 @@ def test_near_duplicate_names_with_accents(spark, tmp_path):
     spark.createDataFrame(rows, "settings_id long, field string, name string").write.parquet(f"{tmp_path}/name_records.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["near_duplicate_names_all"](spark, str(tmp_path)).collect()}
     assert got == {(1, a, b) for a in words for b in words if near(a, b)}
+
+
+def test_dates_are_no_phones(spark):
+    for t in ("01/02/1990", "le 01-02-1990 a", "op 1.2.1990,"):
+        assert [s.tag for s in one(spark, recognise.recognise(F.lit(t)))] == ["datum"]
+
+
+def test_names_without_a_title(spark):
+    found = one(spark, recognise.recognise(F.lit("Gezien met Tavowen van den Bosch en Quordinckx Zelien. CHU Namur"), given=["Tavowen", "Zelien"]))
+    assert [s.text for s in found if s.tag == "persoon"] == ["Tavowen van den Bosch", "Quordinckx Zelien"]
+    both = one(spark, recognise.recognise(F.lit("Rue Haute 12, 1000 Bruxelles")))
+    assert [s.text for s in both] == ["Rue Haute 12, 1000 Bruxelles"]
+
+
+def test_pseudonyms_in_the_cleanup(spark):
+    rows = [("a", "Jean Dubois zag Sophie Martin op 01/02/1990 in Kerkstraat 5.", "Jean", "Dubois", "1990-02-01", ["Sophie Martin", None], ["Kerkstraat 5"], 10), ("b", "JEAN", "Jean", None, None, None, None, None), ("c", None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, t string, first_name string, last_name string, birthdate string, other_names array<string>, custom_addresses array<string>, date_shift_days int")
+    own = {c: F.col(c) for c in documents.PER_DOSSIER} | {"birthdate": F.col("birthdate").cast("date")}
+    got = {r.id: r.r for r in documents.deidentify(df, "t", "r", own, {g: False for g in recognise.GROUPS}, secret_hex=F.lit(SECRET)).collect()}
+    text_a = got["a"].text
+    assert "[PATIENT]" not in text_a and "Dubois" not in text_a and "Martin" not in text_a and "op 11/02/1990 in [LOCATION-1]." in text_a
+    assert got["b"].text.isupper() and got["b"].text != "JEAN" and got["c"] is None
+    assert {o for x in got["a"].references for o in x.originals} == {"Jean Dubois", "Sophie Martin", "01/02/1990", "Kerkstraat 5"}
+
+
+def test_placeholders_keep_their_case(spark):
+    df = spark.createDataFrame([("mail jan[at]post [PATIENT]", [], "post")], "text string, references array<struct<replacement:string,originals:array<string>>>, last_name string").withColumn("src", F.struct("text", "references"))
+    assert cleanup.cleanup(df, "src", "r", {"first_name": F.lit(None).cast("string"), "last_name": F.col("last_name")}).first().r.text == "mail jan[at][PATIENT] [PATIENT]"
+
+
+def test_dossiers(spark):
+    docs = spark.createDataFrame([("t", "paste", "Jean komt.", None, 1), ("h", "html", "<P Title='Jean'>Jean</P>", None, 1), ("o", "paste", "Jean komt.", None, 2), ("n", "paste", "Jean", None, None)], "id string, source_kind string, raw_text string, pdf_pages array<struct<text:string,width:double,height:double>>, settings_id long")
+    own = spark.createDataFrame([(1, "Jean", None, None, None, None, None)], "settings_id long, first_name string, last_name string, birthdate date, other_names array<string>, custom_addresses array<string>, date_shift_days int")
+    got = {r.document_id: r.output_text for r in documents.process_documents(docs, dossiers=own).collect()}
+    assert got == {"t": "[PATIENT] komt.", "h": '<P Title="[PATIENT]">[PATIENT]</p>', "o": "Jean komt.", "n": "Jean"}
+
+
+def test_pdf_round_trip():
+    from palimpsest.sources import pdf
+
+    pages = ["Eén regel\n(met haakjes) \\ en tab", "日本語 naast Latijn", "", "woord " * 900]
+    read = pdf.page_candidates(pdf.write_pdf(pages, [(300.0, 400.0), (320.0, 420.0)]))
+    assert [(w, h) for _, w, h in read][:2] == [(300.0, 400.0), (320.0, 420.0)] and len(read) > 4
+    squeeze = lambda t: "".join(t.split())
+    assert squeeze(read[0][0][1]) == squeeze(pages[0]) and squeeze(read[1][0][1]) == squeeze(pages[1]) and read[2][0] == ["", ""]
+    assert squeeze("".join(t[1] for t, *_ in read[3:])) == squeeze(pages[3])
+    assert pdf.page_candidates(pdf.write_pdf([])) == [(["", ""], 612.0, 792.0)]
+    with pytest.raises(ValueError):
+        pdf.page_candidates(b"no pdf")
+
+
+def test_secret(spark, tmp_path):
+    from palimpsest.sources import secret
+
+    a = secret.load_secret(tmp_path / "x" / "s")
+    assert len(a) == 64 and secret.load_secret(tmp_path / "x" / "s") == a and (tmp_path / "x" / "s").stat().st_mode & 0o777 == 0o600
+    assert secret.secret_table(spark, tmp_path / "x" / "s").first().secret_hex == a
+    (tmp_path / "bad").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        secret.load_secret(tmp_path / "bad")
+
+
+def test_views_in_sql(spark):
+    from palimpsest.plans.sql import register, register_views
+
+    spark.createDataFrame([(1, "mail a@b.be op 1/2/2003"), (2, None)], "k int, t string").createOrReplaceTempView("letters")
+    register_views(spark, "letters", "k", "t")
+    assert [tuple(r) for r in spark.sql("select tag, text from letters_spans order by start").collect()] == [("email", "a@b.be"), ("datum", "1/2/2003")]
+    assert [r.output_text for r in spark.sql("select output_text from letters_deidentified order by k").collect()] == ["mail [EMAIL-1] op [DATE-1]", None]
+    register(spark)
+    assert spark.sql("select html_text('<p>a</p>\n\n<p>b</p> c')").first()[0] == one(spark, html.html_to_text(F.lit("<p>a</p>\n\n<p>b</p> c")))
+
+
+def test_cluster_failures_end_the_stream(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "x")], "id string, generation int, raw_text string").write.parquet(str(tmp_path / "in"))
+
+    def lost(batch):
+        raise OSError("No space left on device")
+
+    stream = spark.readStream.schema("id string, generation int, raw_text string").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="No space left"):
+        flow.run(stream, lost, lambda b, n: None, str(tmp_path / "c")).awaitTermination()
+    left = flow.without_removed(spark.createDataFrame([("a",), ("b",), (None,)], "id string"), spark.createDataFrame([("a",), (None,)], "id string"))
+    assert {r.id for r in left.collect()} == {"b", None}
+
+
+def test_linked_values(spark):
+    assert one(spark, names.person_value(F.lit(" A "), F.lit(None).cast("string")), names.address_value(F.lit("Kerkstraat"), F.lit("5"), F.lit(""), F.lit("Gent")), names.address_value(*[F.lit(" ")] * 4)) == ("A", "Kerkstraat 5, Gent", "")
