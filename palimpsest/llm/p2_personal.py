@@ -423,10 +423,27 @@ class Known:
             self.barred = set()
         return out
 
-    def with_keys(self, keys) -> Known:
+    def with_keys(self, keys) -> Extended:
         """These tables and the keys that the full table has."""
+        return Extended(self, keys)
+
+
+class Either:
+    """Two sets as one, without a copy."""
+
+    def __init__(self, many, few):
+        self.many, self.few = many, few
+
+    def __contains__(self, x) -> bool:
+        return x in self.few or x in self.many
+
+
+class Extended:
+    """Known tables with some keys of the full one."""
+
+    def __init__(self, known: Known, keys):
         of = lambda k: {x[1:] for x in keys if x[0] == k}
-        return Known(self.names | of("t"), self.plain | of("p"), self.contexts | of("c"), self.labels, bytes(MARKS // 8))
+        self.names, self.plain, self.contexts = Either(known.names, of("t")), Either(known.plain, of("p")), Either(known.contexts, of("c"))
 
 
 def number_labels(pairs: DataFrame, annotations: DataFrame) -> dict[str, float]:
@@ -514,7 +531,7 @@ def _letters_of(s: str) -> tuple[str, ...]:
 _elided = re.compile(r"[DdLlQqJj]['’][a-zà-ÿ]")
 
 
-def run_name(text: str, s0: int, run: str, busy: Taken, known: Known, french) -> tuple[int, int, bool, list[str], str] | None:
+def run_name(text: str, s0: int, run: str, busy: Taken, known: Known | Extended, french) -> tuple[int, int, bool, list[str], str] | None:
     """(start, end, sure, terms, context) of the name that a run may hold; an unsure one depends on its terms. french() tells whether the
     text is French."""
     ws = words_of(run)
@@ -571,7 +588,7 @@ def run_name(text: str, s0: int, run: str, busy: Taken, known: Known, french) ->
     return (start, end, sure, terms, ctx) if sure or terms else None
 
 
-def is_plain(ws, plain: frozenset) -> bool:
+def is_plain(ws, plain) -> bool:
     """A run of plain words only, with what stands between them, is never a name."""
     return all(c in plain or i and w.islower() or _elided.match(w) and c[2:] in plain for i, (_, w, _, c) in enumerate(ws))
 

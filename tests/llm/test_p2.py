@@ -56,3 +56,28 @@ def test_rare_names_in_lower_case(spark):
     loc = spark.createDataFrame([("7687", "Sint-Stopvoorde", "Saint-Stoperaux")], "postcode string, name_nl string, name_fr string")
     got = {text[r.start_char : r.end_char] for r in p2.personal_items(docs, done, notes, loc).filter("document_id = 'low'").collect()}
     assert got == {"zelolf van sorgiers", "tavowen  sorgiers", "zelolf jos"}
+
+
+def test_the_same_in_a_larger_corpus(spark):
+    """Rows of a corpus stay as they are when twenty copies with other names join it: frequent and rare words are decided alike."""
+    people = [(g, f) for g in ("Tavowen", "Zelien", "Mirarda") for f in ("Quordinckx", "Peulstein", "van Drelmaert")]
+    say = "Gezien met {0} {1} op 3 mei. Bericht: {0} {1} kreeg Sulomidol. Bel 0470 11 22 33 of INSZ 63.03.04 214-53, staal {2}."
+
+    def corpus(k):
+        turn = lambda w: w if k == 0 else w + "abcdefghijklmnopqrstuvwxyz"[k]
+        docs = [(f"{k}-{i}", say.format(turn(g), turn(f), f"0470 {i:02d} 22 {k:02d}"), None) for i, (g, f) in enumerate(people * 12)]
+        notes = [(k * 1000 + i * 3 + j, d, x, tag) for i, (d, t, _) in enumerate(docs) for j, (x, tag) in enumerate(((t[11 : t.index(" op ")], "persoon"), ("0470 11 22 33", "phone_number"), ("63.03.04 214-53", "national_register_number")))]
+        return docs, notes
+
+    def found(parts):
+        docs = spark.createDataFrame([d for p in parts for d in p[0]], "id string, raw_text string, pdf_pages array<struct<text:string,width:double,height:double>>")
+        notes = spark.createDataFrame([n for p in parts for n in p[1]], "annotation_id long, document_id string, text string, tag string")
+        none = spark.createDataFrame([], "document_id string, generation int, output_text string")
+        loc = spark.createDataFrame([("7687", "Sint-Stopvoorde", "Saint-Stoperaux")], "postcode string, name_nl string, name_fr string")
+        rows = p2.personal_items(docs, none, notes, loc).filter("document_id like '0-%'")
+        return {tuple(r) for r in rows.select("document_id", "kind", "start_char", "end_char").collect()}
+
+    small = found([corpus(0)])
+    assert small == found([corpus(k) for k in range(21)])
+    kinds = [k for d, k, *_ in small if d == "0-0"]
+    assert sorted(kinds) == ["id_number", "name", "name", "phone"]

@@ -81,3 +81,20 @@ def test_shared_spans_equal_brute_force(spark):
     df = spark.createDataFrame([(i, t, "z") for i, t in texts], "doc_id long, text string, k string")
     got = {x.doc_id: x.shared_chars for x in p9_spans.shared_spans(df).collect()}
     assert got == brute(list(dict.fromkeys(texts)), p9_spans.LENGTH)
+
+
+def test_spans_of_another_length(spark):
+    r = random.Random(11)
+    body = "".join(r.choice("abcde ") for _ in range(90))
+    texts = [(1, body + "x" * 30), (2, "y" * 17 + body[:61]), (3, body[:39]), (4, None), (5, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x.doc_id: x.shared_chars for x in p9_spans.shared_spans(df, length=40).collect()}
+    assert got == brute(texts, 40)
+
+
+def test_texts_without_safe_points(spark):
+    long = "日本語" * 40_000
+    texts = ["a" * 70_000 + " b", long, long + " einde van de tekst " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc = p7_encode.encoder(p7_encode.tokenizer_dir())[0]
+    assert {r.doc_id: list(r.ids) for r in p7_encode.encode_corpus(df).collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
