@@ -19,6 +19,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -139,10 +140,11 @@ def _encoded(folder: str):
 
 
 def _stitched(folder: str):
-    def run(batches):
-        for b in batches:
-            ids = [stitch([np.asarray(p["ids"], np.int32) for p in parts], folder) for parts in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["uid", "ids"])
+    """Column function: ids of documents from those of their chunks in order; null for null."""
+
+    @F.pandas_udf("array<int>")
+    def run(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else stitch([np.asarray(x, np.int32) for x in p], folder) for p in parts], dtype=object)
 
     return run
 
@@ -164,9 +166,9 @@ def encode_corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", f
     total = encoded.agg(F.sum("n")).first()[0] or 0
     parts = join_counted(chunks.select("uid", "seq", "key", "safe"), encoded, "key", "n", total).select("uid", "safe", F.struct("seq", "ids").alias("part"))
     whole = parts.groupBy("uid").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.min("safe").alias("safe"))
-    joined = whole.filter("safe").select("uid", F.flatten(F.transform("parts", lambda p: p.ids)).alias("ids"))
-    repaired = whole.filter("not safe").select("uid", "parts").mapInArrow(_stitched(folder), "uid long, ids array<int>")
-    ids = joined.unionByName(repaired)
+    lists = F.transform("parts", lambda p: p.ids)
+    # only documents with a join to repair are sent to Python
+    ids = whole.select("uid", F.coalesce(_stitched(folder)(F.when(~F.col("safe"), lists)), F.flatten(lists)).alias("ids"))
     return numbered.select("uid", "doc_id").join(ids, "uid", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
