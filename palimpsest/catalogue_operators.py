@@ -618,15 +618,15 @@ def remaining_documents(spark, d):
 @query("select document_id, max(generation) as generation, cast(length(max_by(output_text, generation)) as integer) as n from processed_documents group by 1")
 def streamed_latest(spark, d):
     """Results as a stream in one run: the newest of each document is processed and written."""
-    from palimpsest.plans.session import shared_dir
+    from palimpsest.plans.session import shared_dir, streamed
     import uuid
 
     at = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
-    schema = table(spark, d, "processed_documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "processed_documents.parquet").parquet(d)
+    stream = streamed(spark, d, "processed_documents")
     done = lambda b: b.select("document_id", "generation", F.length("output_text").alias("n"))
     flow.run(stream, done, lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint", key="document_id").awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("document_id", "generation", "n")
+    # the newest of all batches, however many the files came in
+    return flow.latest_per_key(spark.read.parquet(f"{at}/out").select("document_id", "generation", "n"), "document_id", ["generation"])
 
 
 @query(f"""

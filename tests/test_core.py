@@ -206,6 +206,22 @@ def test_stream(spark, tmp_path):
     assert {(r.document_id, r.status, r.error_message) for r in failed} == {("a", "error", "kapot"), ("b", "error", "kapot")}
 
 
+def test_streamed_tables_are_files_or_folders(spark, tmp_path):
+    from palimpsest import catalogue, catalogue_operators  # noqa: F401  (registers its queries)
+
+    rows = [("a", 1, "oud"), ("a", 3, "nieuwst"), ("a", 2, "nieuw"), ("b", 1, "x"), ("c", 5, None), (None, 1, "los")]
+    df = spark.createDataFrame(rows, "document_id string, generation int, output_text string")
+    want = {("a", 3, 7), ("b", 1, 1), ("c", 5, None), (None, 1, 3)}
+    df.repartition(3).write.parquet(str(tmp_path / "folder" / "processed_documents.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "processed_documents.parquet")
+    df.limit(0).write.parquet(str(tmp_path / "empty" / "processed_documents.parquet"))
+    for at, rows in (("folder", want), ("file", want), ("empty", set())):
+        got = catalogue.QUERIES["streamed_latest"](spark, str(tmp_path / at)).collect()
+        assert len(got) == len(rows) and {tuple(r) for r in got} == rows
+
+
 def test_versions(spark):
     docs = spark.createDataFrame([("a", 2, "pending", None, "x"), ("b", 1, "pending", None, None)], "id string, generation int, status string, error_message string, raw_text string")
     res = spark.createDataFrame([("a", 1, "oud", None), ("a", 2, "nieuw", None), ("weg", 1, "x", None)], "document_id string, generation int, output_text string, error_message string")
