@@ -18,6 +18,8 @@ from palimpsest.functions.names import split_title, ADDRESS_SEPARATORS, PERSON_S
 from palimpsest.functions.text import PLACEHOLDER, let, next_index, normalize_key, strip, styled
 from palimpsest.operators.spans import REFERENCES, merge_references
 
+#: Columns of the patterns.
+PATIENT, BIRTH, OTHERS, ADDRESSES = "_c_patient", "_c_birth", "_c_others", "_c_addresses"
 WARNING = "Guaranteed cleanup replaced configured literals that remained after recognition."
 
 
@@ -85,9 +87,9 @@ def replace_literals(state: Column, pattern: Column, replacement) -> Column:
 
         def put(found):
             shown = F.filter(found, lambda x: x.r.isNotNull())
-            gaps = F.split(s.text, pattern, -1)
-            pieces = F.transform(found, lambda x, i: F.concat(F.get(gaps, i), F.coalesce(x.r, x.m)))
-            text = F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(found)))
+            # the last gap has no match behind it
+            pieces = F.zip_with(found, F.split(s.text, pattern, -1), lambda x, gap: F.concat(gap, F.coalesce(x.r, x.m, F.lit(""))))
+            text = F.array_join(pieces, "")
             new = F.transform(shown, lambda x: F.struct(x.r.alias("replacement"), F.array(x.m).alias("originals")))
             return F.when(F.size(shown) > 0, F.struct(text.alias("text"), merge_references(F.concat(s.references, new)).alias("references"))).otherwise(F.struct(s.text, s.references))
 
@@ -102,30 +104,20 @@ def patient_variants(first_name: Column, last_name: Column) -> Column:
     return F.concat(person_variants(full), F.array(F.coalesce(first_name, F.lit("")), F.coalesce(last_name, F.lit(""))))
 
 
-def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], name_like: bool = False, secret_hex: Column | None = None, shift: Column | None = None) -> DataFrame:
-    """Adds out, struct<text, references, warnings>: the guaranteed cleanup of source, struct<text, references>, for a row's settings.
+def prepared(df: DataFrame, settings: dict[str, Column], name_like: bool = False, secret_hex: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """df with the patterns of a row's settings, and their columns: what cleanup looks for, apart from any text.
 
-    The patient's names become [PATIENT]; spellings of the birth date the next DATE; each other name the next PERSON;
-    each address the next LOCATION. A number that wasn't used is taken by the next literal. Null text stays null.
-    With a secret and a shift, names become the pseudonym of the configured name in the case style of what was matched, and
-    spellings of the birth date are shifted.
-    Each step is a projection of its own, so no step is computed twice.
+    Where many texts share their settings, the patterns are made once, before the texts join them. Each step is a projection of its
+    own, so no step is computed twice.
     """
     person_sep, address_sep = (r"[\s,._/-]+",) * 2 if name_like else (r"[\s,.'’`-]+", r"[\W_]+")
-    kind = "struct<text:string,references:" + REFERENCES + ">"
     none = F.array().cast("array<string>")
-    placeholder = lambda s, tag: F.concat(F.lit(f"[{tag}-"), next_index(s.text, tag).cast("string"), F.lit("]"))
+    made: list[str] = []
     filled = lambda k: F.filter(F.coalesce(settings[k], none), lambda v: F.trim(v) != "")
 
     def pattern_of(variants, sep):
         return lambda v: literals_pattern(variants(v), sep, name_like)
 
-    def each(s, values, tag):
-        return F.aggregate(values, s.cast(kind), lambda acc, p: replace_literals(acc, p, placeholder(acc, tag)).cast(kind))
-
-    def named(s, values):
-        return F.aggregate(values, s.cast(kind), lambda acc, p: replace_literals(acc, p["pattern"], lambda m: styled(p["pseudonym"], m)).cast(kind))
-
     def with_sources(df, column, values, variants):
         """column: patterns of configured names with their pseudonyms, made in steps."""
         c = F.col(column)
@@ -136,32 +128,66 @@ def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column], n
         return df.withColumn(column, F.transform(c, lambda x: F.struct(literals_pattern(variants(x.v), person_sep, name_like).alias("pattern"), pseudonym(x).alias("pseudonym")))).drop("_pads")
 
     smart = secret_hex is not None
-    c = F.col("_clean")
-    df = df.withColumn("_clean", F.struct(F.col(source).text.alias("text"), F.coalesce(F.col(source).references, F.array().cast(REFERENCES)).alias("references")))
     if "last_name" in settings:
         first, last = settings["first_name"], settings["last_name"]
         if smart:
             full = F.concat_ws(" ", F.when(F.trim(first) != "", first), F.when(F.trim(last) != "", last))
             parts = F.filter(F.array(full, first, last), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
-            df = with_sources(df, "_p", F.array_distinct(parts), person_variants)
-            df = df.withColumn("_clean", named(c, F.col("_p"))).drop("_p")
+            df = with_sources(df, PATIENT, F.array_distinct(parts), person_variants)
         else:
-            df = df.withColumn("_p", literals_pattern(patient_variants(first, last), person_sep, name_like))
-            df = df.withColumn("_clean", replace_literals(c, F.col("_p"), F.lit("[PATIENT]"))).drop("_p")
+            df = df.withColumn(PATIENT, literals_pattern(patient_variants(first, last), person_sep, name_like))
+        made.append(PATIENT)
     if "birthdate" in settings:
         # separators of dates are kept apart: 1-2-1990 isn't 12-1990
         spellings = birthdate_variants(settings["birthdate"], SMART_BIRTH_MONTHS) if smart else birthdate_variants(settings["birthdate"])
         ranked = F.array_sort(F.transform(spellings, lambda v: F.struct((-F.length(v)).alias("n"), _escape(v).alias("v"))))
         rx = F.concat(F.lit(rf"(?iU)(?-i:{PLACEHOLDER})|(?<!\w)(?:"), F.array_join(F.transform(ranked, lambda x: x.v), "|"), F.lit(r")(?!\w)"))
-        df = df.withColumn("_p", F.when(settings["birthdate"].isNotNull(), rx))
-        new = (lambda m: F.coalesce(shift_literal(m, shift), placeholder(c, "DATE"))) if smart else placeholder(c, "DATE")
-        df = df.withColumn("_clean", replace_literals(c, F.col("_p"), new)).drop("_p")
+        df = df.withColumn(BIRTH, F.when(settings["birthdate"].isNotNull(), rx))
+        made.append(BIRTH)
     if smart and "other_names" in settings:
-        df = with_sources(df, "_p", filled("other_names"), person_variants)
-        df = df.withColumn("_clean", named(c, F.col("_p"))).drop("_p")
-    for key, tag, variants, sep in (("other_names", "PERSON", person_variants, person_sep), ("custom_addresses", "LOCATION", address_variants, address_sep)):
-        if key in settings and not (smart and key == "other_names"):
-            df = df.withColumn("_p", F.transform(filled(key), pattern_of(variants, sep)))
-            df = df.withColumn("_clean", each(c, F.col("_p"), tag)).drop("_p")
+        df = with_sources(df, OTHERS, filled("other_names"), person_variants)
+        made.append(OTHERS)
+    for key, column, variants, sep in (("other_names", OTHERS, person_variants, person_sep), ("custom_addresses", ADDRESSES, address_variants, address_sep)):
+        if key in settings and column not in made:
+            df = df.withColumn(column, F.transform(filled(key), pattern_of(variants, sep)))
+            made.append(column)
+    return df, made
+
+
+def cleanup(df: DataFrame, source: str, out: str, settings: dict[str, Column] | list[str], name_like: bool = False, secret_hex: Column | None = None, shift: Column | None = None) -> DataFrame:
+    """Adds out, struct<text, references, warnings>: the guaranteed cleanup of source, struct<text, references>, for a row's settings.
+
+    The patient's names become [PATIENT]; spellings of the birth date the next DATE; each other name the next PERSON;
+    each address the next LOCATION. A number that wasn't used is taken by the next literal. Null text stays null.
+    With a secret and a shift, names become the pseudonym of the configured name in the case style of what was matched, and
+    spellings of the birth date are shifted. settings may also be the columns that prepared() made; null in them looks for nothing.
+    Each step is a projection of its own, so no step is computed twice.
+    """
+    kind = "struct<text:string,references:" + REFERENCES + ">"
+    none = F.array().cast("array<string>")
+    placeholder = lambda s, tag: F.concat(F.lit(f"[{tag}-"), next_index(s.text, tag).cast("string"), F.lit("]"))
+    own: list[str] = []
+    if isinstance(settings, dict):
+        df, own = prepared(df, settings, name_like, secret_hex)
+    columns = own or settings
+    smart = secret_hex is not None
+    c = F.col("_clean")
+
+    def each(s, column, replace):
+        values = F.col(column)
+        return F.when(F.size(values) > 0, F.aggregate(values, s.cast(kind), lambda acc, p: replace(acc, p).cast(kind))).otherwise(s.cast(kind))
+
+    next_one = lambda tag: lambda acc, p: replace_literals(acc, p, placeholder(acc, tag))
+    pseudonym = lambda acc, p: replace_literals(acc, p["pattern"], lambda m: styled(p["pseudonym"], m))
+    df = df.withColumn("_clean", F.struct(F.col(source).text.alias("text"), F.coalesce(F.col(source).references, F.array().cast(REFERENCES)).alias("references")))
+    if PATIENT in columns:
+        df = df.withColumn("_clean", each(c, PATIENT, pseudonym) if smart else replace_literals(c, F.col(PATIENT), F.lit("[PATIENT]")))
+    if BIRTH in columns:
+        new = (lambda m: F.coalesce(shift_literal(m, shift), placeholder(c, "DATE"))) if smart else placeholder(c, "DATE")
+        df = df.withColumn("_clean", replace_literals(c, F.col(BIRTH), new))
+    if OTHERS in columns:
+        df = df.withColumn("_clean", each(c, OTHERS, pseudonym if smart else next_one("PERSON")))
+    if ADDRESSES in columns:
+        df = df.withColumn("_clean", each(c, ADDRESSES, next_one("LOCATION")))
     warnings = F.when(c.text != F.col(source).text, F.array(F.lit(WARNING))).otherwise(none)
-    return df.withColumn(out, F.struct(c.text.alias("text"), c.references.alias("references"), warnings.alias("warnings"))).drop("_clean")
+    return df.withColumn(out, F.struct(c.text.alias("text"), c.references.alias("references"), warnings.alias("warnings"))).drop("_clean", *own)

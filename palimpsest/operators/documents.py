@@ -13,7 +13,7 @@ from palimpsest.functions.dates import date_pieces, parsed_pieces, render_like
 from palimpsest.functions.keyed import automatic_shift, institution_of, key_pads, person_of
 from palimpsest.functions.names import split_title
 from palimpsest.functions.text import affixes, html_escape, is_placeholder, normalize_key, normalize_whitespace, strip, styled
-from palimpsest.operators.cleanup import Settings, cleanup
+from palimpsest.operators.cleanup import Settings, cleanup, prepared
 from palimpsest.operators.html import html_pieces
 from palimpsest.operators.recognise import recognise
 from palimpsest.operators.spans import REFERENCES, canonical_tag, merge_references, numbered, references_of, render
@@ -49,11 +49,18 @@ def with_pseudonyms(df: DataFrame, column: str, secret_hex: Column, shift: Colum
     return df.drop("_pads", "_shift")
 
 
-def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[str, Column] = Settings(), flags: dict | None = None, normalize: bool = True, secret_hex: Column | None = None, name_like: bool = False, given: list[str] = ()) -> DataFrame:
+def own_shift(settings: dict[str, Column], secret_hex: Column) -> Column:
+    """Days by which a patient's dates are moved: configured, or the keyed ones of the name."""
+    subject = F.lower(F.concat_ws(" ", settings.get("first_name", F.lit("")), settings.get("last_name", F.lit(""))))
+    return F.coalesce(settings.get("date_shift_days", F.lit(None).cast("int")), automatic_shift(secret_hex, subject))
+
+
+def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[str, Column] | list[str] = Settings(), flags: dict | None = None, normalize: bool = True, secret_hex: Column | None = None, name_like: bool = False, given: list[str] = (), shift: Column | None = None) -> DataFrame:
     """Adds out, struct<text, references, warnings> of the text column source; null for null, and blank text as it is.
 
     With secret_hex, persons, institutions and dates get pseudonyms; the shift is the settings' own or the keyed automatic one of
-    the patient's name. Then the guaranteed cleanup of the settings runs over the result. White space around the text stays as it is
+    the patient's name, unless shift is given. settings may be the columns of prepared patterns (cleanup.prepared), which then need a
+    shift beside a secret. Then the guaranteed cleanup of the settings runs over the result. White space around the text stays as it is
     where it isn't normalised. Columns whose names begin with an
     underscore are used in between.
     """
@@ -67,8 +74,7 @@ def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[s
     df = df.withColumn("_a", affixes(src)).withColumn("_t", F.when(full, normalize_whitespace(src) if normalize else F.col("_a.core")))
     df = df.withColumn("_s", recognise(F.col("_t"), flags, extra, given=given)).withColumn("_s", numbered(F.col("_s")))
     if secret_hex is not None:
-        subject = F.lower(F.concat_ws(" ", settings.get("first_name", F.lit("")), settings.get("last_name", F.lit(""))))
-        df = df.withColumn("_d", F.coalesce(settings.get("date_shift_days", F.lit(None).cast("int")), automatic_shift(secret_hex, subject)))
+        df = df.withColumn("_d", own_shift(settings, secret_hex) if shift is None else shift)
         df = with_pseudonyms(df, "_s", secret_hex, F.col("_d"))
     df = df.withColumn("_r", F.struct(render(F.col("_t"), F.col("_s")).alias("text"), references_of(F.col("_s")).alias("references")))
     df = cleanup(df, "_r", "_o", settings, name_like, secret_hex, None if secret_hex is None else F.col("_d")).drop("_d")
@@ -113,19 +119,20 @@ def deidentify_html(df: DataFrame, page: str, out: str, key: list[str], settings
     return gathered(cut, key, out)
 
 
-def gathered(cut: DataFrame, key: list[str], out: str) -> DataFrame:
-    """(*key, out) of the pieces of pages (_pos, _kind, _text and the result _x)."""
-    shown = F.when(F.col("_kind") == "markup", F.col("_text")).when(F.col("_kind") == "text", html_escape(F.col("_x.text"))).otherwise(html_escape(F.col("_x.text"), True))
+def gathered(cut: DataFrame, key: list[str], out: str, *more: Column) -> DataFrame:
+    """(*key, out, *more) of the pieces of documents (_pos, _kind, _text and the result _x); more are aggregates."""
+    shown = F.when(F.col("_kind") == "markup", F.col("_text")).when(F.col("_kind") == "text", html_escape(F.col("_x.text"))).when(F.col("_kind") == "attribute", html_escape(F.col("_x.text"), True)).otherwise(F.col("_x.text"))
     failed = F.when(F.col("_kind") == "error", F.col("_text"))
     piece = F.struct("_pos", shown.alias("text"), F.coalesce(F.col("_x.references"), F.array().cast(REFERENCES)).alias("references"), F.coalesce(F.col("_x.warnings"), F.array().cast("array<string>")).alias("warnings"))
-    parts = cut.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("_all"), F.max(failed).alias("_error"))
+    parts = cut.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("_all"), F.max(failed).alias("_error"), *more)
+    rest = [c for c in parts.columns if c not in (*key, "_all", "_error")]
     joined = F.struct(
         F.array_join(F.transform("_all", lambda r: r.text), "").alias("text"),
         merge_references(F.flatten(F.transform("_all", lambda r: r.references))).alias("references"),
         F.array_distinct(F.flatten(F.transform("_all", lambda r: r.warnings))).alias("warnings"),
         F.col("_error").alias("error"),
     )
-    return parts.select(*key, joined.alias(out))
+    return parts.select(*key, joined.alias(out), *rest)
 
 
 #: What may be configured per dossier, as columns.
@@ -136,41 +143,45 @@ def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_h
     """(document_id, output_text, pdf_page_texts, placeholder_references, warnings, status, error_message) of each distinct imported id.
 
     Of a redelivered id the row that arrived last counts. A document without text, or that can't be parsed, is a row with status
-    "error" and a message; others are "ready", and none stops another. All kinds are pieces of one frame, so the rules are planned once; only
-    HTML reaches the parser and is gathered again. With dossiers (settings_id and PER_DOSSIER, one row each) a document is processed with the
-    settings of its own dossier, or with none.
+    "error" and a message; others are "ready", and none stops another. All kinds are pieces of one frame without a branch, so the rules are
+    planned once; only HTML reaches the parser. With dossiers (settings_id and PER_DOSSIER, one row each) a document is processed with the
+    settings of its own dossier, or with none: patterns and pseudonyms are made once for a dossier, and documents are spread by their
+    own ids behind the join, so a dossier with many is no task of its own.
     """
     dated = ["arrived_at"] if "arrived_at" in docs.columns else []
     own = ["settings_id"] if dossiers is not None else []
     rows = docs.filter("id is not null").select(F.col("id").alias("document_id"), "source_kind", "raw_text", F.col("pdf_pages.text").alias("pages"), *own, *dated)
-    if dated:
-        rows = by_key(rows, "document_id").groupBy("document_id").agg(F.max_by(F.struct("source_kind", "raw_text", "pages", *own), "arrived_at").alias("d")).select("document_id", "d.*")
-    carried: list[str] = []
+    shift, carried = None, []
     if dossiers is not None:
-        carried = [f"own_{c}" for c in PER_DOSSIER]
-        rows = rows.join(dossiers.select("settings_id", *(F.col(c).alias(f"own_{c}") for c in PER_DOSSIER)), "settings_id", "left")
-        settings = {c: F.col(f"own_{c}") for c in PER_DOSSIER}
+        configured = {c: F.col(c) for c in PER_DOSSIER}
+        patterns, settings = prepared(by_key(dossiers.select("settings_id", *PER_DOSSIER), "settings_id"), configured, secret_hex=secret_hex)
+        carried = settings
+        if secret_hex is not None:
+            patterns = patterns.withColumn("_own_shift", own_shift(configured, secret_hex))
+            carried, shift = [*settings, "_own_shift"], F.coalesce("_own_shift", own_shift({c: F.lit(None).cast("string") for c in ("first_name", "last_name")}, secret_hex))
+        rows = rows.join(patterns.select("settings_id", *carried), "settings_id", "left").drop("settings_id")
+    each = F.struct("source_kind", "raw_text", "pages", *carried)
+    rows = by_key(rows, "document_id").groupBy("document_id").agg((F.max_by(each, "arrived_at") if dated else F.max(each)).alias("d")).select("document_id", "d.*")
     blank = F.coalesce(F.col("raw_text").rlike(BLANK), F.lit(True))
-    paged = ~blank & F.coalesce((F.col("source_kind") == "pdf") & (F.size("pages") > 0), F.lit(False))
-    is_html = ~blank & F.coalesce(F.col("source_kind") == "html", F.lit(False))
+    paged = F.coalesce((F.col("source_kind") == "pdf") & (F.size("pages") > 0), F.lit(False))
+    is_html = F.coalesce(F.col("source_kind") == "html", F.lit(False))
+    rows = rows.withColumn("_kind", F.when(blank, "blank").when(paged, "pages").when(is_html, "html").otherwise("whole"))
+    kind = F.col("_kind")
+    rows = rows.withColumn("_html", html_pieces(F.when(kind == "html", F.col("raw_text"))))
+    one = lambda k, text: F.array(F.struct(k.alias("kind"), text.alias("text")))
+    text = F.when(kind == "pages", joined_pages(F.col("pages"))).when(kind == "whole", normalize_whitespace(F.col("raw_text")))
+    pieces = F.when(F.size("_html") > 0, F.col("_html")).when(kind == "html", one(F.lit("markup"), F.lit(""))).otherwise(one(kind, text))
+    cut = rows.select("document_id", *carried, F.size("pages").alias("_n"), kind.alias("_of"), F.posexplode(pieces).alias("_pos", "_p"))
+    cut = cut.select("document_id", *carried, "_n", "_of", "_pos", F.col("_p.kind").alias("_kind"), F.col("_p.text").alias("_text")).withColumn("_own", F.when(~kind.isin("markup", "error", "blank"), F.col("_text")))
+    cut = deidentify(cut, "_own", "_x", settings, normalize=False, secret_hex=secret_hex, given=given, shift=shift)
+    done = gathered(cut, ["document_id"], "g", F.max("_n").alias("_n"), F.max("_of").alias("_of"))
+    done = cut_pages(done.withColumn("_gp", F.when(F.col("_of") == "pages", F.col("g"))), "_gp", F.col("_n"), "_paged")
     none = F.array().cast("array<string>")
-    number = F.lit(0).alias("_pos")
-    piece = lambda kind, text: [number, F.lit(kind).alias("_kind"), text.alias("_text")]
-    n_pages = F.size("pages").alias("_n")
-    texts = rows.filter(~blank & ~paged & ~is_html).select("document_id", *carried, n_pages, *piece("whole", normalize_whitespace(F.col("raw_text"))))
-    pdf = rows.filter(paged).select("document_id", *carried, n_pages, *piece("pages", joined_pages(F.col("pages"))))
-    page = rows.filter(is_html).select("document_id", *carried, n_pages, F.posexplode(html_pieces(F.col("raw_text"))).alias("_pos", "_p")).select("document_id", *carried, "_n", "_pos", F.col("_p.kind").alias("_kind"), F.col("_p.text").alias("_text"))
-    cut = texts.unionByName(pdf).unionByName(page).withColumn("_own", F.when(~F.col("_kind").isin("markup", "error"), F.col("_text")))
-    cut = deidentify(cut, "_own", "_x", settings, normalize=False, secret_hex=secret_hex, given=given)
-    whole = lambda r: F.struct(F.col(f"{r}.text"), none.alias("pages"), F.col(f"{r}.references"), F.col(f"{r}.warnings")).alias("r")
-    said = F.lit(None).cast("string").alias("message")
-    text = cut.filter("_kind = 'whole'").select("document_id", whole("_x"), said)
-    pdf = cut_pages(cut.filter("_kind = 'pages'"), "_x", F.col("_n"), "r").select("document_id", "r", said)
-    page = gathered(cut.filter("_kind not in ('whole', 'pages')"), ["document_id"], "g").select("document_id", F.when(F.col("g.error").isNull(), whole("g")).alias("r"), F.col("g.error").alias("message"))
-    failed = rows.filter(blank).select("document_id", F.lit(None).cast(text.schema["r"].dataType).alias("r"), F.lit("The document has no text.").alias("message"))
-    return text.unionByName(pdf).unionByName(page).unionByName(failed).select(
+    whole = F.struct(F.col("g.text"), none.alias("pages"), F.col("g.references"), F.col("g.warnings"))
+    r = F.when(F.col("_of") == "pages", F.col("_paged")).when((F.col("_of") != "blank") & F.col("g.error").isNull(), whole)
+    return done.withColumn("r", r).select(
         "document_id", F.col("r.text").alias("output_text"), F.col("r.pages").alias("pdf_page_texts"), F.col("r.references").alias("placeholder_references"), F.coalesce("r.warnings", none).alias("warnings"),
-        F.when(F.col("r").isNull(), "error").otherwise("ready").alias("status"), F.col("message").alias("error_message"),
+        F.when(F.col("r").isNull(), "error").otherwise("ready").alias("status"), F.when(F.col("_of") == "blank", "The document has no text.").otherwise(F.col("g.error")).alias("error_message"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import within_one_edit
+from palimpsest.functions.text import let, within_one_edit
 
 SPAN = "struct<text:string,tag:string,start:int,end:int>"
 #: Canonical tags and the placeholders' names; other tags are upper-cased.
@@ -48,8 +48,14 @@ def regex_spans(text: Column, pattern: str, tag: str, group: int = 0) -> Column:
     whole = F.regexp_extract_all(text, rx, F.lit(0))
     inner = whole if not group else F.regexp_extract_all(text, rx, F.lit(group))
     gaps = F.split(text, pattern, -1)
-    zipped = F.transform(whole, lambda w, i: F.struct(F.get(gaps, i).alias("gap"), w.alias("whole"), F.get(inner, i).alias("part")))
-    return F.when(text.isNotNull(), F.aggregate(zipped, zero, step, lambda a: F.filter(a.out, lambda s: F.length(s.text) > 0)))
+
+    def placed(found):
+        """found: struct<whole, part>. The text is cut once, and only where something was found."""
+        zipped = F.filter(F.zip_with(found, gaps, lambda m, gap: F.struct(gap.alias("gap"), m.whole.alias("whole"), m.part.alias("part"))), lambda x: x.whole.isNotNull())
+        return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step, lambda a: F.filter(a.out, lambda s: F.length(s.text) > 0))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    pairs = F.transform(whole, lambda w: F.struct(w.alias("whole"), w.alias("part"))) if not group else F.zip_with(whole, inner, lambda w, p: F.struct(w.alias("whole"), p.alias("part")))
+    return F.when(text.isNotNull(), let(pairs, placed))
 
 
 def sort_spans(spans: Column) -> Column:

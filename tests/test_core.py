@@ -311,6 +311,23 @@ def test_dossiers(spark):
     assert got == {"t": "[PATIENT] komt.", "h": '<P Title="[PATIENT]">[PATIENT]</p>', "o": "Jean komt.", "n": "Jean"}
 
 
+def test_settings_are_prepared_once_for_a_dossier(spark):
+    page = [("Jean Peeters", 1.0, 1.0), ("", 1.0, 1.0), ("geboren 01/02/1990", 1.0, 1.0)]
+    kinds = [("t", "paste", "Jean Peeters, 01/02/1990.", None), ("h", "html", "<p title='Jean Peeters'>01/02/1990</p>", None), ("p", "pdf", "x", page), ("b", "text_file", " ", None), ("e", "html", "<a", None)]
+    rows = [(f"{k}{s or ''}", kind, t, p, s) for s in (1, 2, None) for k, kind, t, p in kinds]
+    docs = spark.createDataFrame(rows, "id string, source_kind string, raw_text string, pdf_pages array<struct<text:string,width:double,height:double>>, settings_id long")
+    own = spark.createDataFrame([(1, "Jean", "Peeters", "1990-02-01", None, None, 10), (2, None, None, None, ["Peeters"], None, None)], "settings_id long, first_name string, last_name string, birthdate string, other_names array<string>, custom_addresses array<string>, date_shift_days int")
+    done = documents.process_documents(docs, secret_hex=F.lit(SECRET), dossiers=own.withColumn("birthdate", F.col("birthdate").cast("date")))
+    got = {r.document_id: r for r in done.collect()}
+    assert len(got) == 15 and {i for i, r in got.items() if r.status == "error"} == {"b1", "b2", "b"}
+    assert "11/02/1990" in got["t1"].output_text and "11/02/1990" in got["h1"].output_text and "11/02/1990" in got["p1"].pdf_page_texts[2]
+    assert not any("Jean" in got[i].output_text for i in ("t1", "h1", "p1")) and not any("Peeters" in got[i].output_text for i in ("t2", "h2", "p2"))
+    assert "Jean Peeters" in got["t"].output_text and len(got["p"].pdf_page_texts) == 3 and "01/02/1990" not in got["t"].output_text
+    # one branch: the rules are planned once, and patterns are on the dossiers' side of the join
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_pdf_round_trip():
     from palimpsest.sources import pdf
 
