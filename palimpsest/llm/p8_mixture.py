@@ -18,7 +18,8 @@ a source that is no target are in the mixture zero times.
    histogram of that number, refined in one of its bins until that has few rows, and an exact order within it, so no
    source, however large, is sorted in one task.
 
-Topics are clusters of the corpus's texts, fitted on a bounded sample (FITTED) of the texts in the mixture.
+Topics are clusters of the corpus's texts, fitted on all texts that may be in the mixture: their words are counted once and kept
+beside their sizes, and every step of the fit passes over these counts.
 
 Empty tables give an empty mixture. Ties in u / probability are ordered by the text's hash.
 """
@@ -38,15 +39,15 @@ from palimpsest.plans.session import by_key, materialize, table
 
 ROUNDS, BINS = 60, 4096
 LANGS = ["nl", "fr", "de", "en"]
-#: Topics are clusters of the corpus: TOPICS centres over WORDS hashed words, fitted on FITTED texts with the least hash at most.
-TOPICS, WORDS, FITTED, STEPS = 6, 512, 4000, 12
+#: Topics are clusters of the corpus: TOPICS centres over WORDS hashed words, fitted on all texts in STEPS passes at most.
+TOPICS, WORDS, STEPS = 6, 512, 12
 #: A source's threshold is looked for in finer bins until one has fewer rows.
 SORTED = 100_000
 _words = re.compile(r"[^\W\d_]{4,}")
 
 
 def bags(texts: list[str], cache: dict[str, int]) -> np.ndarray:
-    """A row of unit length for each text: counts of its hashed words, damped."""
+    """A row for each text: counts of its hashed words, damped."""
     out = np.zeros((len(texts), WORDS), np.float32)
     if len(cache) > 200_000:  # only saves hashing again
         cache.clear()
@@ -58,37 +59,113 @@ def bags(texts: list[str], cache: dict[str, int]) -> np.ndarray:
             at.append(k)
         if at:
             row += np.bincount(at, minlength=WORDS)
-    out = np.log1p(out)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def fit_topics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, weights of the words): spherical k-means over words weighted by rarity; the first centres are far from each other."""
-    x = bags(texts, {})
-    weights = np.log((1 + len(texts)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = x * weights
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centres = [x[0]] if len(x) else [np.zeros(WORDS, np.float32)]
-    while len(centres) < TOPICS and len(x):
-        centres.append(x[np.argmin((x @ np.array(centres).T).max(1))])
-    c = np.array(centres)
-    for _ in range(STEPS if len(x) else 0):
-        near = (x @ c.T).argmax(1)
-        for k in range(len(c)):
-            if (near == k).any():
-                c[k] = x[near == k].mean(0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return np.log1p(out).astype(np.float16)
+
+
+def _damped(column: pa.Array) -> np.ndarray:
+    """Rows of bags as they were written."""
+    at, data = np.frombuffer(column.buffers()[1], np.int32)[column.offset], column.buffers()[2]
+    return np.frombuffer(data, np.float16, len(column) * WORDS, int(at)).reshape(-1, WORDS).astype(np.float32)
+
+
+def _norms(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Lengths of the weighted rows."""
+    return np.maximum(np.sqrt(np.square(x) @ np.square(weights)), 1e-9)
+
+
+def _summed(rows: list[tuple]) -> list[tuple]:
+    """Rows (label, number, vector) added up by their labels, in the order of these."""
+    out: dict[str, tuple] = {}
+    for label, n, v in sorted(rows, key=lambda r: (r[0], r[1], r[2].tobytes())):
+        out[label] = (label, out[label][1] + n, out[label][2] + v) if label in out else (label, n, v)
+    return [*out.values()]
+
+
+def _least(rows: list[tuple]) -> list[tuple]:
+    return sorted(rows, key=lambda r: (r[1], r[0]))[:1]
+
+
+def _over(counted: DataFrame, of, combine) -> list[tuple]:
+    """combine(of(k, bags)) over all batches of texts: rows (label, number, vector), of which a task sends as few as a batch has."""
+
+    def run(batches):
+        rows: list[tuple] = []
+        for b in batches:
+            if b.num_rows:
+                rows = combine([*rows, *((str(r[0]), float(r[1]), np.asarray(r[2], np.float64)) for r in of(b.column("k"), _damped(b.column("bag"))))])
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["label", "n", "v"])
+
+    sent = counted.select("k", "bag").mapInArrow(run, "label string, n double, v binary").collect()
+    return combine([(r.label, r.n, np.frombuffer(bytes(r.v), np.float64)) for r in sent])
+
+
+def fit_topics(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, weights of the words): spherical k-means over all texts and words weighted by rarity; the first centres are far from each other.
+
+    counted has the columns k and bag. Each step is a pass over the bags from which every task sends a row for each centre.
+    """
+    have = _over(counted, lambda k, x: [("", len(x), (x > 0).sum(0))], _summed)
+    n, seen = have[0][1:] if have else (0.0, np.zeros(WORDS))
+    weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+    c = np.zeros((0, WORDS), np.float32)
+
+    def farthest(k, x):
+        """The text that is least like any centre; at the beginning, and of equal ones, the one with the least hash. Texts without words are none."""
+        norms = _norms(x, weights)
+        like = (x @ (c * weights).T).max(1) / norms if len(c) else np.zeros(len(x))
+        like[norms <= 1e-9] = np.inf
+        least = like.min()
+        at = min(np.flatnonzero(like == least), key=lambda i: k[int(i)].as_py())
+        return [(k[int(at)].as_py(), least, x[at] * weights / norms[at])] if least < np.inf else []
+
+    while len(c) < TOPICS:
+        found = _over(counted, farthest, _least)
+        if not found:
+            break
+        c = np.vstack([c, found[0][2].astype(np.float32)])
+    if not len(c):
+        return np.zeros((1, WORDS), np.float32), weights
+
+    def parts(k, x):
+        # the nearest centre doesn't depend on a row's length
+        near = (x @ (c * weights).T).argmax(1)
+        own = np.zeros((len(c), len(x)), np.float32)
+        own[near, np.arange(len(x))] = 1 / _norms(x, weights)
+        total = (own @ x) * weights
+        return [(i, (near == i).sum(), total[i]) for i in np.unique(near)]
+
+    for _ in range(STEPS):
+        new = c.copy()
+        for i, m, v in _over(counted, parts, _summed):
+            new[int(i)] = v / m
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-9)
+        if np.array_equal(new, c):
+            break
+        c = new
     return c, weights
 
 
-def _counted(folder: str, centres: np.ndarray, weights: np.ndarray):
+def _counted(folder: str):
+    """Tokens of texts, and their bags."""
+
     def run(batches):
         enc, cache = encoder(folder)[0], {}
         for b in batches:
             texts = b.column("text").to_pylist()
             n = [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)]
-            topic = [f"topic{k}" for k in ((bags(texts, cache) * weights) @ centres.T).argmax(1)] if texts else []
-            yield pa.record_batch([*(b.column(c) for c in ("k", "doc_id", "source", "lang")), pa.array(topic, pa.string()), pa.array(n, pa.int64())], ["k", "doc_id", "source", "lang", "topic", "tokens"])
+            bag = [x.tobytes() for x in bags(texts, cache)]
+            yield pa.record_batch([*(b.column(c) for c in ("k", "doc_id", "source", "lang")), pa.array(n, pa.int64()), pa.array(bag, pa.binary())], ["k", "doc_id", "source", "lang", "tokens", "bag"])
+
+    return run
+
+
+def _assigned(centres: np.ndarray, weights: np.ndarray):
+    """Texts with the topic of the nearest centre instead of their bag."""
+
+    def run(batches):
+        for b in batches:
+            topic = [f"topic{k}" for k in (_damped(b.column("bag")) @ (centres * weights).T).argmax(1)] if b.num_rows else []
+            yield pa.record_batch([*(b.column(c) for c in ("k", "doc_id", "source", "lang")), pa.array(topic, pa.string()), b.column("tokens")], ["k", "doc_id", "source", "lang", "topic", "tokens"])
 
     return run
 
@@ -142,10 +219,10 @@ def mixture(docs: DataFrame, targets: DataFrame, folder: str | None = None) -> D
     lang = F.lower(F.substring("lang", 1, 2))
     first = F.struct("source", "doc_id", F.when(lang.isin(LANGS), lang).otherwise("other").alias("lang"))
     keyed = by_key(rows.withColumn("k", F.sha2("text", 256)), "k")
-    units = materialize(keyed.groupBy("k").agg(F.min(first).alias("r"), F.first("text").alias("text")).select("k", "r.doc_id", "r.source", "r.lang", "text"))
-    chosen = units.select("k").orderBy("k").limit(FITTED)
-    centres, weights = fit_topics([r.text for r in units.join(F.broadcast(chosen), "k").orderBy("k").select("text").collect()])
-    sized = materialize(units.mapInArrow(_counted(folder or tokenizer_dir(), centres, weights), "k string, doc_id long, source string, lang string, topic string, tokens long"))
+    units = keyed.groupBy("k").agg(F.min(first).alias("r"), F.first("text").alias("text")).select("k", "r.doc_id", "r.source", "r.lang", "text")
+    counted = materialize(units.mapInArrow(_counted(folder or tokenizer_dir()), "k string, doc_id long, source string, lang string, tokens long, bag binary"))
+    centres, weights = fit_topics(counted)
+    sized = materialize(counted.mapInArrow(_assigned(centres, weights), "k string, doc_id long, source string, lang string, topic string, tokens long"))
     # at most len(known) x 5 x TOPICS rows, whatever the data
     cells = [(r.source, r.lang, r.topic, r.n) for r in sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("n")).collect()]
     rates = rake(cells, shares)

@@ -62,6 +62,19 @@ def test_mixture_reaches_shares_within_repeats(spark):
     assert p8.mixture(docs.limit(0), goal).count() == 0 and p8.mixture(docs, goal.limit(0)).count() == 0
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    # more texts than a bounded sample would take, and six kinds of words of which the last is rare
+    kinds = ["koorts hoesten", "breuk gips", "hartslag bloeddruk", "huid uitslag", "oog bril", "tand kaak"]
+    texts = [f"{kinds[i % 5] if i % 1000 else kinds[5]} patient{i}" for i in range(6000)]
+    docs = spark.createDataFrame([(f"{i:06d}", p8.bags([t], {})[0].tobytes()) for i, t in enumerate(texts)], "k string, bag binary").repartition(4)
+    centres, weights = p8.fit_topics(docs)
+    assert centres.shape == (p8.TOPICS, p8.WORDS)
+    seen = sum((p8.bags([t], {})[0] > 0).astype(int) for t in texts)
+    assert weights == pytest.approx(1 + __import__("numpy").log(6001 / (1 + seen)), rel=1e-5)
+    again, _ = p8.fit_topics(docs.repartition(7))
+    assert centres == pytest.approx(again, abs=1e-5)
+
+
 def test_rake_keeps_marginals():
     cells = [(s, lang, t, n) for s, lang, t, n in [("a", "nl", "x", 100), ("a", "fr", "x", 300), ("b", "nl", "y", 500), ("b", "fr", "x", 100), ("b", "nl", "x", 50)]]
     r = p8.rake(cells, {"a": (0.5, 1), "b": (0.5, 2)})
