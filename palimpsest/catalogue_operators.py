@@ -636,8 +636,7 @@ def smart_documents(spark, d):
     placeholder."""
     s = table(spark, d, "patient_settings").select("settings_id", *documents.PER_DOSSIER, "saved_at").filter("settings_id is not null")
     own = flow.latest_per_key(s, "settings_id", ["saved_at"]).withColumn("date_shift_days", dates.safe_shift(F.col("date_shift_days")).cast("int"))
-    given = [r[0] for r in table(spark, d, "given_nicknames").select("given_name").filter("given_name is not null").distinct().limit(5000).collect()]
-    done = documents.process_documents(table(spark, d, "imported_documents"), secret_hex=F.lit(TEST_SECRET), given=given, dossiers=own)
+    done = documents.process_documents(table(spark, d, "imported_documents"), secret_hex=F.lit(TEST_SECRET), given=table(spark, d, "given_nicknames"), dossiers=own)
     return done.select("document_id", "status", F.coalesce(F.regexp_count("output_text", F.lit(r"\[PATIENT\]")), F.lit(0)).cast("long").alias("patients"))
 
 

@@ -1,7 +1,7 @@
 """De-identification of whole documents: text, pages, HTML and file names, with references, warnings and errors.
 
-Everything is one projection over a document's row: no shuffle, whatever the number of documents. Only the HTML
-branch goes through Python, and only rows of that kind are sent there.
+Everything is one projection over a document's row: no shuffle, whatever the number of documents. Only a table of given
+names is joined, by the words of each document. Only the HTML branch goes through Python, and only rows of that kind are sent there.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from palimpsest.functions.names import split_title
 from palimpsest.functions.text import affixes, html_escape, is_placeholder, normalize_key, normalize_whitespace, strip, styled
 from palimpsest.operators.cleanup import Settings, cleanup, prepared
 from palimpsest.operators.html import html_pieces
-from palimpsest.operators.recognise import recognise
+from palimpsest.operators.recognise import recognise, run_words
 from palimpsest.operators.spans import REFERENCES, canonical_tag, merge_references, numbered, references_of, render
-from palimpsest.plans.session import by_key
+from palimpsest.plans.session import by_key, spread
 
 #: Tags by the treatment they get with pseudonyms.
 PERSON_TAGS = ["patient", "person", "persoon"]
@@ -55,7 +55,7 @@ def own_shift(settings: dict[str, Column], secret_hex: Column) -> Column:
     return F.coalesce(settings.get("date_shift_days", F.lit(None).cast("int")), automatic_shift(secret_hex, subject))
 
 
-def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[str, Column] | list[str] = Settings(), flags: dict | None = None, normalize: bool = True, secret_hex: Column | None = None, name_like: bool = False, given: list[str] = (), shift: Column | None = None) -> DataFrame:
+def deidentify(df: DataFrame, source: str, out: str, settings: Settings | dict[str, Column] | list[str] = Settings(), flags: dict | None = None, normalize: bool = True, secret_hex: Column | None = None, name_like: bool = False, given: list[str] | Column = (), shift: Column | None = None) -> DataFrame:
     """Adds out, struct<text, references, warnings> of the text column source; null for null, and blank text as it is.
 
     With secret_hex, persons, institutions and dates get pseudonyms; the shift is the settings' own or the keyed automatic one of
@@ -139,19 +139,53 @@ def gathered(cut: DataFrame, key: list[str], out: str, *more: Column) -> DataFra
 PER_DOSSIER = ["first_name", "last_name", "birthdate", "other_names", "custom_addresses", "date_shift_days"]
 
 
-def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_hex: Column | None = None, given: list[str] = (), dossiers: DataFrame | None = None) -> DataFrame:
+def in_pieces(rows: DataFrame) -> DataFrame:
+    """Adds _of, the kind of a document (source_kind, raw_text, pages), and _pieces, array<struct<kind, text>>: what its texts are cut to.
+
+    There is always a piece. Explode them as outer ones all the same: else empty arrays are looked for first, by cutting every text once more.
+    """
+    blank = F.coalesce(F.col("raw_text").rlike(BLANK), F.lit(True))
+    paged = F.coalesce((F.col("source_kind") == "pdf") & (F.size("pages") > 0), F.lit(False))
+    is_html = F.coalesce(F.col("source_kind") == "html", F.lit(False))
+    rows = rows.withColumn("_of", F.when(blank, "blank").when(paged, "pages").when(is_html, "html").otherwise("whole"))
+    kind = F.col("_of")
+    rows = rows.withColumn("_html", html_pieces(F.when(kind == "html", F.col("raw_text"))))
+    one = lambda k, text: F.array(F.struct(k.alias("kind"), text.alias("text")))
+    text = F.when(kind == "pages", joined_pages(F.col("pages"))).when(kind == "whole", normalize_whitespace(F.col("raw_text")))
+    pieces = F.when(F.size("_html") > 0, F.col("_html")).when(kind == "html", one(F.lit("markup"), F.lit(""))).otherwise(one(kind, text))
+    return rows.withColumn("_pieces", pieces).drop("_html")
+
+
+def own_text(kind: Column, text: Column) -> Column:
+    """The text of a piece if it is the document's own, else null."""
+    return F.when(~kind.isin("markup", "error", "blank"), text)
+
+
+def known_names(texts: DataFrame, given: DataFrame) -> DataFrame:
+    """(document_id, _known): which words of each document are given names, for general_names. Documents without one are left out.
+
+    A join, so the table of names may have any size; where it is small enough to be broadcast, only the words that are names are
+    shuffled. Names of all rows of an id are taken together: those that the newest text hasn't are never looked up.
+    """
+    cut = in_pieces(spread(texts.select("document_id", "source_kind", "raw_text", "pages"))).select("document_id", F.explode_outer("_pieces").alias("_p"))
+    words = cut.select("document_id", F.explode_outer(run_words(own_text(F.col("_p.kind"), F.col("_p.text")))).alias("_word"))
+    names = given.select(F.lower("given_name").alias("_word"))
+    return words.join(names, "_word", "left_semi").groupBy("document_id").agg(F.collect_set("_word").alias("_known"))
+
+
+def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_hex: Column | None = None, given: list[str] | DataFrame = (), dossiers: DataFrame | None = None) -> DataFrame:
     """(document_id, output_text, pdf_page_texts, placeholder_references, warnings, status, error_message) of each distinct imported id.
 
     Of a redelivered id the row that arrived last counts. A document without text, or that can't be parsed, is a row with status
     "error" and a message; others are "ready", and none stops another. All kinds are pieces of one frame without a branch, so the rules are
     planned once; only HTML reaches the parser. With dossiers (settings_id and PER_DOSSIER, one row each) a document is processed with the
     settings of its own dossier, or with none: patterns and pseudonyms are made once for a dossier, and documents are spread by their
-    own ids behind the join, so a dossier with many is no task of its own.
+    own ids behind the join, so a dossier with many is no task of its own. given names are a list, or a table (given_name) of any size.
     """
     dated = ["arrived_at"] if "arrived_at" in docs.columns else []
     own = ["settings_id"] if dossiers is not None else []
     rows = docs.filter("id is not null").select(F.col("id").alias("document_id"), "source_kind", "raw_text", F.col("pdf_pages.text").alias("pages"), *own, *dated)
-    shift, carried = None, []
+    texts, shift, carried = rows, None, []
     if dossiers is not None:
         configured = {c: F.col(c) for c in PER_DOSSIER}
         patterns, settings = prepared(by_key(dossiers.select("settings_id", *PER_DOSSIER), "settings_id"), configured, secret_hex=secret_hex)
@@ -161,18 +195,12 @@ def process_documents(docs: DataFrame, settings: Settings = Settings(), secret_h
             carried, shift = [*settings, "_own_shift"], F.coalesce("_own_shift", own_shift({c: F.lit(None).cast("string") for c in ("first_name", "last_name")}, secret_hex))
         rows = rows.join(patterns.select("settings_id", *carried), "settings_id", "left").drop("settings_id")
     each = F.struct("source_kind", "raw_text", "pages", *carried)
-    rows = by_key(rows, "document_id").groupBy("document_id").agg((F.max_by(each, "arrived_at") if dated else F.max(each)).alias("d")).select("document_id", "d.*")
-    blank = F.coalesce(F.col("raw_text").rlike(BLANK), F.lit(True))
-    paged = F.coalesce((F.col("source_kind") == "pdf") & (F.size("pages") > 0), F.lit(False))
-    is_html = F.coalesce(F.col("source_kind") == "html", F.lit(False))
-    rows = rows.withColumn("_kind", F.when(blank, "blank").when(paged, "pages").when(is_html, "html").otherwise("whole"))
-    kind = F.col("_kind")
-    rows = rows.withColumn("_html", html_pieces(F.when(kind == "html", F.col("raw_text"))))
-    one = lambda k, text: F.array(F.struct(k.alias("kind"), text.alias("text")))
-    text = F.when(kind == "pages", joined_pages(F.col("pages"))).when(kind == "whole", normalize_whitespace(F.col("raw_text")))
-    pieces = F.when(F.size("_html") > 0, F.col("_html")).when(kind == "html", one(F.lit("markup"), F.lit(""))).otherwise(one(kind, text))
-    cut = rows.select("document_id", *carried, F.size("pages").alias("_n"), kind.alias("_of"), F.posexplode(pieces).alias("_pos", "_p"))
-    cut = cut.select("document_id", *carried, "_n", "_of", "_pos", F.col("_p.kind").alias("_kind"), F.col("_p.text").alias("_text")).withColumn("_own", F.when(~kind.isin("markup", "error", "blank"), F.col("_text")))
+    newest = by_key(rows, "document_id").groupBy("document_id").agg((F.max_by(each, "arrived_at") if dated else F.max(each)).alias("d")).select("document_id", "d.*")
+    if isinstance(given, DataFrame):
+        newest = newest.join(known_names(texts, given), "document_id", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
+        carried, given = [*carried, "_known"], F.col("_known")
+    cut = in_pieces(newest).select("document_id", *carried, F.size("pages").alias("_n"), "_of", F.posexplode_outer("_pieces").alias("_pos", "_p"))
+    cut = cut.select("document_id", *carried, "_n", "_of", "_pos", F.col("_p.kind").alias("_kind"), F.col("_p.text").alias("_text")).withColumn("_own", own_text(F.col("_kind"), F.col("_text")))
     cut = deidentify(cut, "_own", "_x", settings, normalize=False, secret_hex=secret_hex, given=given, shift=shift)
     done = gathered(cut, ["document_id"], "g", F.max("_n").alias("_n"), F.max("_of").alias("_of"))
     done = cut_pages(done.withColumn("_gp", F.when(F.col("_of") == "pages", F.col("g"))), "_gp", F.col("_n"), "_paged")

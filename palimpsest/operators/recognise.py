@@ -53,34 +53,44 @@ RECOGNISERS = [
 NAME_RUN = rf"(?U)(?<![\w@.-])(?:{_PARTICLE}\s+)?{_NAME}(?:,?[ \n](?:{_PARTICLE}[ \n])*(?:{_NAME}|\p{{Lu}}\.?(?![\w])))*"
 
 
-def general_names(text: Column, given: list[str]) -> Column:
+#: A word of a run.
+RUN_WORD = r"(?U)[\p{L}'’-]+"
+
+
+def run_words(text: Column) -> Column:
+    """The distinct words of all runs of a text, in lower case: all that general_names looks up."""
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(NAME_RUN), F.lit(0)), "\n")
+    return F.array_distinct(F.transform(F.regexp_extract_all(runs, F.lit(RUN_WORD), F.lit(0)), F.lower))
+
+
+def general_names(text: Column, given: list[str] | Column) -> Column:
     """Spans of persons without a title: runs of capitalised words from the first word on that is a given name of the list.
 
-    A run that ends with its only given name begins one word earlier, as family names may come first.
+    A run that ends with its only given name begins one word earlier, as family names may come first. given may be a column, the
+    array of those given names in lower case that are among the row's run_words: a list of any size then needs no place in the plan.
     """
-    known = F.split(F.lit("|".join(sorted({g.lower() for g in given if g and "|" not in g}))), r"\|")
-    word = r"(?U)[\p{L}'’-]+"
+    known = given if isinstance(given, Column) else F.split(F.lit("|".join(sorted({g.lower() for g in given if g and "|" not in g}))), r"\|")
 
     def cut(s):
-        words = F.regexp_extract_all(s.text, F.lit(word), F.lit(0))
+        words = F.regexp_extract_all(s.text, F.lit(RUN_WORD), F.lit(0))
         hits = F.transform(words, lambda w: F.array_contains(known, F.lower(w)))
 
         at = F.array_position(hits, True).cast("int")
         first = F.when((at == F.size(words)) & (at > 1), at - 1).otherwise(at)
         # the letters and gaps before the first word that counts
-        lead = F.coalesce(F.length(F.regexp_substr(s.text, F.concat(F.lit(rf"(?U)\A(?:[^\p{{L}}'’-]*{word[4:]}){{"), (first - 1).cast("string"), F.lit(r"}[^\p{L}'’-]*")))), F.lit(0))
+        lead = F.coalesce(F.length(F.regexp_substr(s.text, F.concat(F.lit(rf"(?U)\A(?:[^\p{{L}}'’-]*{RUN_WORD[4:]}){{"), (first - 1).cast("string"), F.lit(r"}[^\p{L}'’-]*")))), F.lit(0))
         cut_off = F.struct(F.substring(s.text, lead + 1, F.length(s.text)).alias("text"), s.tag.alias("tag"), (s.start + lead).cast("int").alias("start"), s.end.alias("end"))
         return F.when(at > 0, cut_off)
 
     return F.filter(F.transform(regex_spans(text, NAME_RUN, "persoon"), cut), lambda s: s.isNotNull())
 
 
-def recognise(text: Column, flags: dict[str, bool] | None = None, extra: list[tuple[str, str]] = (), recognisers: list[Recogniser] = RECOGNISERS, given: list[str] = ()) -> Column:
+def recognise(text: Column, flags: dict[str, bool] | None = None, extra: list[tuple[str, str]] = (), recognisers: list[Recogniser] = RECOGNISERS, given: list[str] | Column = ()) -> Column:
     """Spans of a text, sorted and apart from each other.
 
     flags: groups that are on, all by default; a group that is off costs nothing. extra: (tag, Java pattern) of
     configured literals, which come first and don't depend on the flags. given: given names by which persons without a title are
-    known. With e-mail addresses off, no span may overlap one, so that they stay as they are. Neighbouring spans of persons or of
+    known, or the column general_names takes. With e-mail addresses off, no span may overlap one, so that they stay as they are. Neighbouring spans of persons or of
     locations are one.
     """
     on = lambda g: True if flags is None else flags.get(g, True)
@@ -96,7 +106,7 @@ def recognise(text: Column, flags: dict[str, bool] | None = None, extra: list[tu
     ranked = [] if on("email_addresses") else [spans(EMAIL)]
     ranked += [regex_spans(text, p, tag) for tag, p in extra]
     ranked += [spans(r) for r in recognisers if on(r.group)]
-    if given and on("names"):
+    if on("names") and (isinstance(given, Column) or given):
         ranked.append(general_names(text, given))
     if not ranked:
         return F.when(text.isNotNull(), F.array().cast(found_type))

@@ -288,6 +288,35 @@ def test_names_without_a_title(spark):
     assert [s.text for s in both] == ["Rue Haute 12, 1000 Bruxelles"]
 
 
+def test_given_names_of_a_table_of_any_size(spark, tmp_path, monkeypatch):
+    from palimpsest import catalogue, catalogue_operators  # noqa: F401
+
+    letters = "abcdefghij"
+    names = ["Qu" + "".join(letters[int(c)] for c in f"{i:05d}") for i in range(20000)]
+    spark.createDataFrame([(n, None) for n in [*names, None]], "given_name string, nickname string").write.parquet(f"{tmp_path}/given_nicknames.parquet")
+    hidden = names[::400]
+    text = [f"Gezien met {a} van den Bosch en Zorro {b}, d'{c}." for a, b, c in zip(hidden[::3], hidden[1::3], hidden[2::3])]
+    rows = [(f"t{i}", "text_file", t, None, 1, 1) for i, t in enumerate(text[:5])]
+    rows += [(f"h{i}", "html", f'<p title="{t}">{t}</p>', None, 1, 1) for i, t in enumerate(text[5:10])]
+    rows += [(f"p{i}", "pdf", t, [("Blad een",), (t,)], 1, 1) for i, t in enumerate(text[10:])]
+    rows += [("t0", "text_file", "Niets.", None, 1, 0), ("none", "text_file", "Gezien met Quzz Janssens.", None, 1, 1), ("blank", "text_file", " ", None, 1, 1)]
+    docs = spark.createDataFrame(rows, "id string, source_kind string, raw_text string, pdf_pages array<struct<text string>>, settings_id bigint, arrived_at int")
+    docs.write.parquet(f"{tmp_path}/imported_documents.parquet")
+    own = spark.createDataFrame([], "settings_id bigint, first_name string, last_name string, birthdate date, other_names array<string>, custom_addresses array<string>, date_shift_days int, saved_at timestamp")
+    own.write.parquet(f"{tmp_path}/patient_settings.parquet")
+    made, process = [], documents.process_documents
+    monkeypatch.setattr(documents, "process_documents", lambda *a, **k: made.append(process(*a, **k)) or made[-1])
+    catalogue.QUERIES["smart_documents"](spark, str(tmp_path))
+    got = {r.document_id: r.output_text for r in made[0].collect()}
+    left = [n for n in hidden for t in got.values() if t and n.lower() in t.lower()]
+    assert left == [] and not any("Bosch" in (t or "") or "Zorro" in (t or "") for t in got.values())
+    assert len(got) == len(rows) - 1 and got["none"] == "Gezien met Quzz Janssens." and got["blank"] is None
+    # a list gives the same
+    listed = process(docs, given=hidden).select("document_id", "output_text", "placeholder_references")
+    joined = process(docs, given=spark.read.parquet(f"{tmp_path}/given_nicknames.parquet")).select("document_id", "output_text", "placeholder_references")
+    assert sorted(listed.collect()) == sorted(joined.collect())
+
+
 def test_pseudonyms_in_the_cleanup(spark):
     rows = [("a", "Jean Dubois zag Sophie Martin op 01/02/1990 in Kerkstraat 5.", "Jean", "Dubois", "1990-02-01", ["Sophie Martin", None], ["Kerkstraat 5"], 10), ("b", "JEAN", "Jean", None, None, None, None, None), ("c", None, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "id string, t string, first_name string, last_name string, birthdate string, other_names array<string>, custom_addresses array<string>, date_shift_days int")
